@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup
+from . import minhash_dedup, quality_rules
 
 QUERIES = {
+    "op3_quality_mcd": quality_rules.op3_query,
     "op7_minhash_near_dedup": minhash_dedup.op7_query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_mcd": quality_rules.ORACLE,
+}
