@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, quality_rules
+from . import language_id, merkle_fingerprint, minhash_dedup, quality_rules
 
 QUERIES = {
+    "op2_merkle_fingerprint": merkle_fingerprint.op2_query,
     "op3_quality_mcd": quality_rules.op3_query,
+    "op4_language_centroids": language_id.op4_query,
     "op7_minhash_near_dedup": minhash_dedup.op7_query,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_merkle_fingerprint": merkle_fingerprint.ORACLE,
     "op3_quality_mcd": quality_rules.ORACLE,
 }
