@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_id, merkle_fingerprint, minhash_dedup, quality_rules
+from . import byte_bpe, language_id, merkle_fingerprint, minhash_dedup, quality_rules
 
 QUERIES = {
     "op2_merkle_fingerprint": merkle_fingerprint.op2_query,
     "op3_quality_mcd": quality_rules.op3_query,
     "op4_language_centroids": language_id.op4_query,
+    "op6_byte_bpe": byte_bpe.op6_query,
     "op7_minhash_near_dedup": minhash_dedup.op7_query,
 }
 
