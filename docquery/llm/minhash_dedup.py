@@ -173,7 +173,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
     # smaller sets reach the threshold with equal sets only
     reps = named.where(F.col("n") * (100 - percent) >= percent).join(same.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     reps = reps.select(F.col("doc_id").alias("id"), "n", "bits", F.explode("bands").alias("key"))
-    buckets = reps.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    # buckets with the same members tell the same: one of them stays
+    buckets = reps.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("id") % (1 << 40)).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("h2")).where("members > 1")
+    buckets = buckets.groupBy("members", "h1", "h2").agg(F.min("key").alias("key")).select("key")
     rest = checkpoint(reps.join(buckets, "key", "left_semi"))
     edges, comp = None, None
     for seed in range(rounds):
@@ -193,9 +195,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
     rest = _unresolved(rest, comp)
     full = _sets_of(docs, rest.select(F.col("id").alias("doc_id")).distinct(), shingle)
     rest = rest.join(full.withColumnRenamed("doc_id", "id"), "id")
-    left, right = (rest.select("key", *[F.col(c).alias(c + s) for c in ("id", "n", "bits", "comp", "set")]) for s in "xy")
-    both = left.join(right, (left.key == right.key) & (F.col("compx") < F.col("compy")) & _possible("nx", "ny", percent) & (estimate(F.col("bitsx"), F.col("bitsy"), hashes) >= cut) & _exact(F.col("setx"), F.col("sety"), percent))
-    last = both.select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+    both = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.comp < y.comp") & _possible("x.n", "y.n", percent) & (estimate(F.col("x.bits"), F.col("y.bits"), hashes) >= cut) & _exact(F.col("x.set"), F.col("y.set"), percent))
+    last = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     comp = components(edges.union(last).union(linked))
     ids = sigs.join(comp.select(F.col("id").alias("doc_id"), "comp"), "doc_id", "left")
     out = F.coalesce("comp", "doc_id")
