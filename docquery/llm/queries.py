@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, merkle_fingerprint, minhash_dedup, quality_rules
+from . import byte_bpe, chat_format, language_id, merkle_fingerprint, minhash_dedup, quality_rules, url_filter
 
 QUERIES = {
     "op2_merkle_fingerprint": merkle_fingerprint.op2_query,
@@ -10,9 +10,13 @@ QUERIES = {
     "op4_language_centroids": language_id.op4_query,
     "op6_byte_bpe": byte_bpe.op6_query,
     "op7_minhash_near_dedup": minhash_dedup.op7_query,
+    "op8_chat_format": chat_format.op8_query,
+    "op10_url_filter": url_filter.op10_query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_merkle_fingerprint": merkle_fingerprint.ORACLE,
     "op3_quality_mcd": quality_rules.ORACLE,
+    "op8_chat_format": chat_format.ORACLE,
+    "op10_url_filter": url_filter.ORACLE,
 }
