@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -118,13 +118,13 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
     return {"idf": idf, "centroids": np.concatenate(parts), "langs": [m.lang for m, p in zip(models, parts, strict=True) for _ in p], "floors": floors}
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds lang_pred, score, rejected to (doc_id, text, ...); text is dropped.
+def verdict(spark: SparkSession, model: dict):
+    """A function of the text column to a struct of lang_pred, score, rejected.
 
     lang_pred is ``und`` with score 0, rejected, for a null text, one without a letter, or a classifier without a
     language. The model goes to the tasks as a broadcast of at most languages x CENTROIDS x DIMENSIONS floats.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
     def classify(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -145,8 +145,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 out.append((m["langs"][i], score, score < REJECT_SHARE * min(floor, floors.get(size + 1, floor))))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
-    udf = F.pandas_udf(classify, "lang_pred string, score double, rejected boolean")
-    return docs.withColumn("p", udf(F.col("text"))).drop("text").select("*", "p.*").drop("p")
+    return F.pandas_udf(classify, "lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -162,7 +161,7 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     own = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
     model = fit(own.where("not held_out"), sample)
-    return predict(own.select("doc_id", "held_out", "text"), model)
+    return own.select("doc_id", "held_out", verdict(docs.sparkSession, model)(F.col("text")).alias("p")).select("doc_id", "held_out", "p.*")
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
