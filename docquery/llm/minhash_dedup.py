@@ -171,31 +171,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
     same = checkpoint(named.select("doc_id", "n", "a", "b").join(nodes, ["n", "a", "b"]).select("doc_id", "rep"))
     linked = same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     # smaller sets reach the threshold with equal sets only
-    reps = named.where(F.col("n") * (100 - percent) >= percent).join(same.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    reps = reps.select(F.col("doc_id").alias("id"), "n", "bits", F.explode("bands").alias("key"))
+    facts = named.where(F.col("n") * (100 - percent) >= percent).join(same.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+    members = facts.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     # buckets with the same members tell the same: one of them stays
-    buckets = reps.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("id") % (1 << 40)).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("h2")).where("members > 1")
+    buckets = members.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("id") % (1 << 40)).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("h2")).where("members > 1")
     buckets = buckets.groupBy("members", "h1", "h2").agg(F.min("key").alias("key")).select("key")
-    rest = checkpoint(reps.join(buckets, "key", "left_semi"))
+    rest = checkpoint(members.join(buckets, "key", "left_semi"))
+    facts = facts.select(F.col("doc_id").alias("id"), "n", "bits")
+
+    def likely(x: str, y: str) -> Column:
+        return _possible(f"{x}.n", f"{y}.n", percent) & (estimate(F.col(f"{x}.bits"), F.col(f"{y}.bits"), hashes) >= cut)
+
     edges, comp = None, None
     for seed in range(rounds):
         rest = rest if comp is None else _unresolved(rest, comp)
         pick = rest.groupBy("key").agg(F.min_by("id", F.xxhash64(F.lit(seed), "id") if seed == 0 else F.xxhash64("key", "id")).alias("hub"))
-        pairs = rest.join(pick, "key").where("id <> hub").select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y")).distinct()
-        facts = rest.dropDuplicates(["id"])
-        side = lambda c: facts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))  # noqa: B023, E731
-        likely = pairs.join(side("x"), "x").join(side("y"), "y").where(_possible("nx", "ny", percent) & (estimate(F.col("bitsx"), F.col("bitsy"), hashes) >= cut)).select("x", "y")
-        likely = checkpoint(likely)
-        wanted = likely.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-        full = checkpoint(_sets_of(docs, wanted, shingle))
-        found = likely.join(full.select(F.col("doc_id").alias("x"), F.col("set").alias("sx")), "x").join(full.select(F.col("doc_id").alias("y"), F.col("set").alias("sy")), "y")
-        found = found.where(_exact(F.col("sx"), F.col("sy"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        pairs = rest.join(pick, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        pairs = pairs.join(facts.alias("x"), F.expr("a = x.id")).join(facts.alias("y"), F.expr("b = y.id")).where(likely("x", "y")).select("a", "b")
+        pairs = checkpoint(pairs)
+        full = checkpoint(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), shingle))
+        found = pairs.join(full.alias("x"), F.expr("a = x.doc_id")).join(full.alias("y"), F.expr("b = y.doc_id")).where(_exact(F.col("x.set"), F.col("y.set"), percent)).select("a", "b")
         edges = checkpoint(found if edges is None else edges.union(found))
         comp = components(edges)
-    rest = _unresolved(rest, comp)
+    rest = _unresolved(rest, comp).join(facts, "id")
+    rest = checkpoint(rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.comp <> y.comp") & likely("x", "y"), "left_semi"))
     full = _sets_of(docs, rest.select(F.col("id").alias("doc_id")).distinct(), shingle)
     rest = rest.join(full.withColumnRenamed("doc_id", "id"), "id")
-    both = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.comp < y.comp") & _possible("x.n", "y.n", percent) & (estimate(F.col("x.bits"), F.col("y.bits"), hashes) >= cut) & _exact(F.col("x.set"), F.col("y.set"), percent))
+    both = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.comp < y.comp") & likely("x", "y") & _exact(F.col("x.set"), F.col("y.set"), percent))
     last = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     comp = components(edges.union(last).union(linked))
     ids = sigs.join(comp.select(F.col("id").alias("doc_id"), "comp"), "doc_id", "left")
