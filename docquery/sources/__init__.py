@@ -1 +1 @@
-
+"""Tables, transactions and writes on versioned Parquet."""
