@@ -23,8 +23,8 @@ from .common import checkpoint
 DIMENSIONS, CENTROIDS = 4096, 4
 #: Labelled rows a language that the classifier is fit on.
 SAMPLE = 800
-#: A text is rejected below this share of the least cosine of fit rows with as many trigrams (powers of two).
-REJECT_SHARE = 0.5
+#: A text is rejected below this share of the least cosine of fit rows with a quarter to four times as many trigrams.
+REJECT_SHARE = 0.4
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _NOT_LETTER = np.array([not chr(i).isalpha() for i in range(128)])
@@ -141,8 +141,8 @@ def verdict(spark: SparkSession, model: dict):
                 i = int(np.argmax(cosines))
                 score = float(min(1.0, max(0.0, cosines[i])))
                 size = _length_class(int(counts.sum()))
-                floor = floors.get(size, min((floors[s] for s in floors if s <= size + 1), default=lowest))
-                out.append((m["langs"][i], score, score < REJECT_SHARE * min(floor, floors.get(size + 1, floor))))
+                floor = min((floors[s] for s in floors if abs(s - size) <= 2), default=lowest)
+                out.append((m["langs"][i], score, score < REJECT_SHARE * floor))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     return F.pandas_udf(classify, "lang_pred string, score double, rejected boolean")
