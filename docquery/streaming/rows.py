@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import typing
 from collections.abc import Callable, Iterable, Iterator
 from enum import Enum
 from typing import Any
@@ -126,7 +127,9 @@ class Decoder:
 
 
 def _typed(kind: Any, value: Any) -> Any:
-    return _enum(kind, value) if isinstance(kind, type) and issubclass(kind, Enum) else value
+    """Enums of a member's type, also of an optional one."""
+    found = next((k for k in (kind, *typing.get_args(kind)) if isinstance(k, type) and issubclass(k, Enum)), None)
+    return value if found is None else _enum(found, value)
 
 
 class MultiMap:
