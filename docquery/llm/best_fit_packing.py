@@ -54,7 +54,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     wordless text is one piece of 0 words without a bin (null). A null source conflicts with nothing. Repeated rows are packed
     each; no rows give no rows.
     """
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("cluster"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("words"))
+    sized = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("cluster"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("words"))
     groups = max(1, -(-docs.count() // group_rows))
     pieces = sized.select("doc_id", "source", "cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("words") / capacity) - 1, F.lit(0).cast("bigint")))).alias("piece"), "words")
     pieces = pieces.withColumn("n_words", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity)).drop("words")
@@ -74,8 +74,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
         rest = rest.assign(bin_id=pd.array([None] * len(rest), "Int64"), bin_words=pd.array([None] * len(rest), "Int64"))
         return pd.concat([some, rest]).drop(columns="pack_group") if len(rest) else some.drop(columns="pack_group")
 
-    schema = f"doc_id {dict(sized.dtypes)['doc_id']}, source string, cluster bigint, piece bigint, n_words bigint, bin_id bigint, bin_words bigint"
-    return pieces.groupBy("pack_group").applyInPandas(run, schema)
+    schema = "doc_id string, source string, cluster bigint, piece bigint, n_words bigint, bin_id bigint, bin_words bigint"
+    packed = pieces.groupBy("pack_group").applyInPandas(run, schema)  # ids travel as text, as pandas has no integer with nulls
+    return packed.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ TEMPLATE = {
     "close": "</turn>\n",
     "order": {"": ["system", "user"], "system": ["user"], "user": ["assistant"], "assistant": ["user"]},
 }
-SEGMENTS = "conv_id {id}, position bigint, segments array<struct<text:string,loss:boolean>>, allowed boolean"
+SEGMENTS = "conv_id string, position bigint, segments array<struct<text:string,loss:boolean>>, allowed boolean"
 
 
 class Codec:
@@ -72,33 +72,28 @@ class Codec:
 
 
 def format_conversations(rows: DataFrame, template: dict = TEMPLATE) -> DataFrame:
-    """conv_id, position, segments, allowed: a row for each row of rows (conv_id, turn, role, text; others are ignored).
+    """conv_id (as text), position, segments, allowed: a row for each row of rows (conv_id, turn, role, text; others are ignored).
 
     Partitions hold whole conversations, sorted by conv_id and position (from 0). ``allowed`` is the state
     machine's verdict on the turn; turns out of order are formatted all the same. Null texts and roles count as empty, a null
     conv_id is a conversation of its own, null turns come first; equal turns are ordered by role, then text.
     No rows give no rows.
     """
-    own = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = rows.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec, at, position, state = Codec(template), object(), 0, ""
         for batch in batches:
             out = []
             for conv, role, text in zip(batch.conv_id, batch.role, batch.text, strict=True):
-                conv = None if pd.isna(conv) else conv
                 if conv != at:
                     at, position, state = conv, 0, ""
                 allowed = role in template["order"].get(state, [])
                 out.append((conv, position, [{"text": t, "loss": loss} for t, loss in codec.write(role, text)], allowed))
                 position, state = position + 1, role
-            frame = pd.DataFrame(out, columns=["conv_id", "position", "segments", "allowed"])
-            frame["conv_id"] = pd.array(frame["conv_id"], dtype="Int64") if integer else frame["conv_id"]
-            yield frame
+            yield pd.DataFrame(out, columns=["conv_id", "position", "segments", "allowed"])
 
-    kind = dict(own.dtypes)["conv_id"]
-    integer = kind in ("bigint", "int", "smallint", "tinyint")
-    return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(run, SEGMENTS.format(id=kind))
+    return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(run, SEGMENTS)
 
 
 def read_back(segments: DataFrame, template: dict = TEMPLATE) -> DataFrame:
@@ -115,13 +110,10 @@ def read_back(segments: DataFrame, template: dict = TEMPLATE) -> DataFrame:
         def frame() -> pd.DataFrame:
             rows = [(c, n, a.hexdigest(), k, b.hexdigest(), f, ok) for c, n, a, k, b, f, ok in done]
             done.clear()
-            out = pd.DataFrame(rows, columns=columns)
-            out["conv_id"] = pd.array(out["conv_id"], dtype="Int64") if integer else out["conv_id"]
-            return out
+            return pd.DataFrame(rows, columns=columns)
 
         for batch in batches:
             for conv, position, parts, allowed in zip(batch.conv_id, batch.position, batch.segments, batch.allowed, strict=True):
-                conv = None if pd.isna(conv) else conv
                 if position == 0 or conv != at:
                     if now:
                         done.append(now)
@@ -140,9 +132,7 @@ def read_back(segments: DataFrame, template: dict = TEMPLATE) -> DataFrame:
             done.append(now)
             yield frame()
 
-    kind = dict(segments.dtypes)["conv_id"]
-    integer = kind in ("bigint", "int", "smallint", "tinyint")
-    return segments.mapInPandas(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, ordered boolean")
+    return segments.mapInPandas(run, "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, ordered boolean")
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
@@ -150,7 +140,7 @@ def op8_query(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = "\\### Assistant: </turn> ok"
     made = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id bigint, turn bigint, role string, text string")
-    return read_back(format_conversations(rows.unionByName(made)))
+    return read_back(format_conversations(rows.unionByName(made))).withColumn("conv_id", F.col("conv_id").cast("bigint"))
 
 
 ORACLE = r"""
