@@ -66,6 +66,10 @@ class WriteTransaction(ReadTransaction):
     def __exit__(self, *error: Any) -> None:
         self.close()  # what isn't committed is dropped
 
+    def share(self) -> SharedTransaction:
+        """A transaction on the same staged changes that leaves the commit to this one."""
+        return SharedTransaction(self)
+
     def _hook(self, name: str, *args: Any) -> None:
         for h in self.hooks:
             getattr(h, name, lambda *a: None)(*args)
@@ -223,6 +227,7 @@ class WriteTransaction(ReadTransaction):
     def _edges(self, m: DocumentMap, doc: Any, key: Any) -> None:
         for related in m.related:
             pairs = list(dict.fromkeys(related.documents(doc)))
+            self._hook("store_related", doc, pairs, self)
             if pairs:
                 rows = [(str(key), m.table_name, str(i), t) for i, t in pairs]
                 self._add_rows(related.table, "Id", self.spark.createDataFrame(rows, EDGE_SCHEMA))
@@ -275,12 +280,28 @@ class WriteTransaction(ReadTransaction):
             if any(then.get(n) != now.get(n) for n in changes):
                 raise CommitConflictError("a table of this transaction was changed by another")
         self.version = self.store.tables.commit(base, changes)
-        self._added, self._deleted, self._touched = {}, {}, {}
+        self.rollback()
         self._hook("after_commit", self)
         return self.version
 
     def rollback(self) -> None:
-        self._added, self._deleted, self._touched = {}, {}, {}
+        """Drops what is staged."""
+        for staged in (self._added, self._deleted, self._touched):
+            staged.clear()
+
+
+class SharedTransaction(WriteTransaction):
+    """Reads and changes what another transaction has staged; commit and rollback are the other's."""
+
+    def __init__(self, owner: WriteTransaction):
+        super().__init__(owner.store)
+        self.__dict__.update({k: v for k, v in owner.__dict__.items() if k != "commands"})
+
+    def commit(self) -> int:
+        raise NotAvailableError("the transaction that this one shares in commits")
+
+    def rollback(self) -> None:
+        raise NotAvailableError("the transaction that this one shares in rolls back")
 
 
 @dataclasses.dataclass(frozen=True)

@@ -205,3 +205,14 @@ def test_directions_and_read_only(spark, tmp_path):
     assert store.begin_read().query(D).to_list() == [D("1", "", None)] and store.begin_read().table("D").first().In == "in"
     with pytest.raises(NotAvailableError):
         Store.of_parquet(spark, "/nowhere").begin_write()
+
+
+def test_shared_transactions(store):
+    with store.begin_write() as t:
+        inner = t.share()
+        inner.insert(Product("s", "shared"))
+        assert t.query(Product).count() == 3
+        with pytest.raises(NotAvailableError):
+            inner.commit()
+        t.commit()
+    assert "shared" in names(store)
