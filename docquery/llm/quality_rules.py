@@ -157,7 +157,7 @@ s as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED_PE
 k0 as (select *, to_json({{'l': 0, 'a': lang, 'b': source}}) g0, round(ln(word_chars / n_words), 3) x1, round(ln(1 + 100 * n_symbols / word_chars), 3) x2,
     round(ln(1 + 100 * n_repeat_words / n_words), 3) x3, round(ln(1 + 100 * n_dup_lines / n_lines), 3) x4 from s where not base_failed),
 k1 as (select *, case when count(*) over (partition by g0) < {MIN_GROUP} then to_json({{'l': 1, 'a': lang}}) else g0 end g1 from k0),
-k as (select *, case when count(*) over (partition by g1) < {MIN_GROUP} then 'all' else g1 end::varchar grp from k1),
+k as (select *, case when count(*) over (partition by g1) < {MIN_GROUP} then 'all' else g1::varchar end grp from k1),
 c as (select grp, {", ".join(f"quantile_cont(x{i}, 0.5) m{i}" for i in range(1, 5))} from k group by 1),
 p0 as (select grp, {", ".join(m)}, {", ".join(f"greatest(1.4826 * quantile_cont(abs(x{i} - m{i}), 0.5), {FLOORS[f'x{i}']}) l{i}{i}" for i in range(1, 5))},
     {", ".join(f"0.0::double l{i + 1}{j + 1}" for i, j in PAIRS if i != j)} from k join c using (grp) group by grp, {", ".join(m)}),"""

@@ -22,6 +22,5 @@ ORACLES: dict[str, str] = {
     "op2_merkle_fingerprint": merkle_fingerprint.ORACLE,
     "op3_quality_mcd": quality_rules.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
-    "op9_html_wrapper": html_wrapper.op9_query,
     "op10_url_filter": url_filter.ORACLE,
 }
