@@ -30,6 +30,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """df, computed, as the side of a join: broadcast if it has at most most_rows rows, else left to a shuffle.
+
+    For narrow tables of one row a group or a language, whose number is usually small but isn't bounded.
+    """
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

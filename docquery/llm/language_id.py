@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_side
 
 DIMENSIONS, CENTROIDS = 4096, 4
 #: Labelled rows a language that the classifier is fit on.
@@ -77,7 +77,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
     Rows with a null text or lang count for nothing. Without any row, the classifier has no language.
     """
     rows = rows.where("lang is not null and text is not null")
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(1.25 * sample) / F.col("n")).alias("share"))
+    share = small_side(rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(1.25 * sample) / F.col("n")).alias("share")))
     unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     likely = rows.join(share, "lang").where(unit < F.col("share")).select("lang", unit.alias("u"), "text")
 
