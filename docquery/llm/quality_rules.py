@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, let, words
+from .common import SPACE, checkpoint, let, small_side, words
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 DIGITS = 3
@@ -69,7 +69,7 @@ def _with_group(rows: DataFrame) -> DataFrame:
     """Adds grp: language and source; where these have under MIN_GROUP rows, the rest of the language; else the rest of all."""
     own = rows.withColumn("grp", F.to_json(F.struct(F.lit(0).alias("level"), "lang", "source")))
     for level, wider in ((1, F.struct(F.lit(1).alias("level"), "lang")), (2, F.struct(F.lit(2).alias("level")))):
-        small = own.groupBy("grp").agg(F.count("*").alias("grp_rows")).where(F.col("grp_rows") < MIN_GROUP)
+        small = small_side(own.groupBy("grp").agg(F.count("*").alias("grp_rows")).where(F.col("grp_rows") < MIN_GROUP))
         own = own.join(small, "grp", "left").withColumn("grp", F.when(F.col("grp_rows").isNull(), F.col("grp")).otherwise(F.to_json(wider))).drop("grp_rows")
     return own
 
@@ -96,19 +96,19 @@ def _cholesky(params: DataFrame) -> DataFrame:
 
 def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """(grp, x1..x4) to a row for each group with location m1..m4 and the Cholesky factor l11..l44 of its scatter."""
-    centre = rows.groupBy("grp").agg(*[F.percentile(x, 0.5).alias(f"m{i + 1}") for i, x in enumerate(X)])
+    centre = small_side(rows.groupBy("grp").agg(*[F.percentile(x, 0.5).alias(f"m{i + 1}") for i, x in enumerate(X)]))
     spread = rows.join(centre, "grp").groupBy("grp", *[f"m{i + 1}" for i in range(4)]).agg(*[F.percentile(F.abs(F.col(x) - F.col(f"m{i + 1}")), 0.5).alias(f"d{i + 1}") for i, x in enumerate(X)])
-    params = checkpoint(spread.select("grp", *[f"m{i + 1}" for i in range(4)], *[(F.greatest(1.4826 * F.col(f"d{i + 1}"), F.lit(FLOORS[X[i]])) if i == j else F.lit(0.0)).alias(f"l{i + 1}{j + 1}") for i, j in PAIRS]))
+    params = small_side(spread.select("grp", *[f"m{i + 1}" for i in range(4)], *[(F.greatest(1.4826 * F.col(f"d{i + 1}"), F.lit(FLOORS[X[i]])) if i == j else F.lit(0.0)).alias(f"l{i + 1}{j + 1}") for i, j in PAIRS]))
     base = params.select("grp", *[F.col(f"m{i + 1}").alias(f"b{i + 1}") for i in range(4)])
     for _ in range(steps):
         near = rows.join(params, "grp").withColumn("u", F.round(F.log1p(_distance(X)), DIGITS)).select("grp", "u", *X)
-        cut = near.groupBy("grp").agg(F.percentile("u", SHARE).alias("cut"))
+        cut = small_side(near.groupBy("grp").agg(F.percentile("u", SHARE).alias("cut")).join(base, "grp"))
         y = [F.col(x) - F.col(f"b{i + 1}") for i, x in enumerate(X)]
-        sums = near.join(cut, "grp").where("u <= cut").join(base, "grp").groupBy("grp", *[f"b{i + 1}" for i in range(4)])
+        sums = near.join(cut, "grp").where("u <= cut").groupBy("grp", *[f"b{i + 1}" for i in range(4)])
         sums = sums.agg(*[F.avg(y[i]).alias(f"a{i + 1}") for i in range(4)], *[F.avg(y[i] * y[j]).alias(f"p{i + 1}{j + 1}") for i, j in PAIRS])
         mean = [(F.col(f"b{i + 1}") + F.col(f"a{i + 1}")).alias(f"m{i + 1}") for i in range(4)]
         scatter = [(CONSISTENCY * (F.col(f"p{i + 1}{j + 1}") - F.col(f"a{i + 1}") * F.col(f"a{j + 1}")) + F.lit(FLOORS[X[i]] ** 2 if i == j else 0.0)).alias(f"s{i + 1}{j + 1}") for i, j in PAIRS]
-        params = checkpoint(_cholesky(sums.select("grp", *mean, *scatter)).select("grp", *[f"m{i + 1}" for i in range(4)], *[f"l{i + 1}{j + 1}" for i, j in PAIRS]))
+        params = small_side(_cholesky(sums.select("grp", *mean, *scatter)).select("grp", *[f"m{i + 1}" for i in range(4)], *[f"l{i + 1}{j + 1}" for i, j in PAIRS]))
     return params
 
 
