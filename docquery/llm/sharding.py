@@ -1,7 +1,7 @@
 """Sharding by size-tiered compaction.
 
 Arrivals become small immutable Parquet shards. A shard's tier is the logarithm of its size, to the base FAN_IN.
-Where a tier below the target size has FAN_IN shards or more, they are read and written again as files of about the
+Where FAN_IN shards or more of a tier are smaller than half the target size, they are read and written again as files of about the
 target size, without a shuffle; tiers are done from small to large until none is full. Every change is a new
 version: its shard list is written as Parquet, then one small file, renamed into place without overwriting,
 makes it visible. So readers see whole versions, and of two writers with the same base one fails.
@@ -33,6 +33,7 @@ class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, smallest_bytes: int = SMALLEST_BYTES):
         self.spark, self.root = spark, root.rstrip("/")
         self.target, self.fan_in, self.smallest = target_bytes, fan_in, smallest_bytes
+        self.done = target_bytes // 2  # merged shards come out a little smaller or larger than the target; these are not merged again
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -98,13 +99,13 @@ class ShardStore:
         while True:
             base = (self.versions() or [0])[-1]
             shards = self.manifest(base)
-            full = shards.where((F.col("tier") >= tier) & (F.col("bytes") < self.target)).groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+            full = shards.where((F.col("tier") >= tier) & (F.col("bytes") < self.done)).groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
             found = full.where(F.col("n") >= self.fan_in).orderBy("tier").first()
             if not found:
                 return base
             tier = found["tier"]
             schema = T.StructType.fromJson(json.loads(self._read_commit(base)["schema"]))
-            run = shards.where((F.col("tier") == tier) & (F.col("bytes") < self.target))
+            run = shards.where((F.col("tier") == tier) & (F.col("bytes") < self.done))
             paths = [r.path for r in run.select("path").orderBy("path").toLocalIterator()]  # names of files, as any scan needs them
             merged = self._write(self.spark.read.schema(schema).parquet(*paths).coalesce(max(1, round(found["bytes"] / self.target))))
             self.commit(shards.join(run.select("path"), "path", "left_anti").unionByName(merged), schema, base)

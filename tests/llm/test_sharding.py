@@ -17,7 +17,7 @@ def test_round_trip_and_tiers(spark, docs, tmp_path):
     last = store.compact()
     after = store.manifest()
     assert last > first and after.count() < before / 2
-    assert after.where("bytes < 20000").groupBy("tier").count().where("count >= 4").count() == 0
+    assert after.where("bytes < 10000").groupBy("tier").count().where("count >= 4").count() == 0
     assert rows_of(store.read()) == rows_of(docs) == rows_of(store.read(first))
     assert store.vacuum() > before / 2
     assert store.versions() == [last] and rows_of(store.read()) == rows_of(docs)
