@@ -221,3 +221,14 @@ def _unresolved(rest: DataFrame, comp: DataFrame) -> DataFrame:
 def op7_query(spark, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity of 0.85 or more, over all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, threshold=0.85)
+
+
+ORACLE = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from w),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id x, b.doc_id y, count(*) k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 85 * (a.n + b.n - k)),
+r(doc_id, c) as (select doc_id, doc_id from documents union select e.y, r.c from r join e on e.x = r.doc_id),
+m as (select doc_id, min(c) component_id from r group by 1)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, doc_id = component_id kept from documents left join n using (doc_id) join m using (doc_id)"""

@@ -21,6 +21,8 @@ ORACLES: dict[str, str] = {
     "op1_sharding": sharding.ORACLE,
     "op2_merkle_fingerprint": merkle_fingerprint.ORACLE,
     "op3_quality_mcd": quality_rules.ORACLE,
+    "op7_minhash_near_dedup": minhash_dedup.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
+    "op9_html_wrapper": html_wrapper.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
