@@ -5,7 +5,6 @@ from __future__ import annotations
 import asyncio
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
-from functools import reduce
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.parameters import Parameters, bind, like_piped_value, like_value, normalise, unique_name
 from ..mapping import DocumentMap
 from ..operators.joins import Join, JoinBuilder, join_all
-from ..operators.predicates import Predicate, Scope, condition
+from ..operators.predicates import Member, Predicate, Scope, condition
 from ..streaming.rows import Decoder
 
 if TYPE_CHECKING:
@@ -38,6 +37,24 @@ class Order:
         return c.desc() if self.descending else c.asc()
 
 
+@dataclass(frozen=True)
+class MemberOrder:
+    """Order by a member, in a column or in JSON."""
+
+    path: tuple[str, ...]
+    map: DocumentMap | None
+    descending: bool = False
+    alias: str | None = None
+
+    @property
+    def name(self) -> str:
+        return self.path[-1]
+
+    def column(self, alias: str | None) -> Column:
+        c = Scope(self.map, alias).resolve(self.path)
+        return c.desc() if self.descending else c.asc()
+
+
 @dataclass(frozen=True)
 class Pick:
     """A selected column: a name, an expression, a row number or all columns (of an alias)."""
@@ -186,7 +203,9 @@ class Query:
     def columns_of(self, alias: str) -> Query:
         return replace(self, picks=(*self.picks, Pick("all", table=alias)))
 
-    def column(self, name: str, alias: str | None = None, table_alias: str | None = None) -> Query:
+    def column(self, name: str | Member, alias: str | None = None, table_alias: str | None = None) -> Query:
+        if isinstance(name, Member):
+            return self.member_column(".".join(name._path), alias or name._path[-1])
         return replace(self, picks=(*self.picks, Pick("name", name, alias, table_alias)))
 
     def calculated_column(self, expression: str, alias: str) -> Query:
@@ -207,11 +226,15 @@ class Query:
     def group_by(self, name: str, table_alias: str | None = None) -> Query:
         return replace(self, groups=(*self.groups, (name, table_alias)))
 
-    def order_by(self, name: str, table_alias: str | None = None) -> Query:
-        return replace(self, orders=(*self.orders, Order(name, table_alias)))
+    def _order(self, name: str | Member, table_alias: str | None, descending: bool) -> Query:
+        made = MemberOrder(name._path, self.map, descending) if isinstance(name, Member) else Order(name, table_alias, descending)
+        return replace(self, orders=(*self.orders, made))
 
-    def order_by_descending(self, name: str, table_alias: str | None = None) -> Query:
-        return replace(self, orders=(*self.orders, Order(name, table_alias, True)))
+    def order_by(self, name: str | Member, table_alias: str | None = None) -> Query:
+        return self._order(name, table_alias, False)
+
+    def order_by_descending(self, name: str | Member, table_alias: str | None = None) -> Query:
+        return self._order(name, table_alias, True)
 
     then_by, then_by_descending = order_by, order_by_descending
 
@@ -422,6 +445,3 @@ def _aggregates(text: str) -> bool:
     head = text.strip().lower().split("(")[0].strip()
     return head in ("count", "sum", "avg", "min", "max", "count_if", "round(sum") and " over" not in text.lower()
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

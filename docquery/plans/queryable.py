@@ -41,15 +41,8 @@ class Queryable:
         return replace(self, query=self.query.hint(text))
 
     def _sorted(self, member: Member | str, descending: bool) -> Queryable:
-        path = (member,) if isinstance(member, str) else member._path
-        scope = replace(self.query, filters_by_name=False).scope()
-        if len(path) == 1 and scope.json_path(path) is None:
-            found = self.query.map.column(path[0]) if self.query.map else None
-            name = found.name if found else self.query.map.id if self.query.map and path[0].lower() == self.query.map.id.lower() else path[0]
-            made = self.query.order_by_descending(name) if descending else self.query.order_by(name)
-        else:
-            made = replace(self.query, orders=(*self.query.orders, _PathOrder(path, self.query.map, descending)))
-        return replace(self, query=made)
+        member = Member(member) if isinstance(member, str) else member
+        return replace(self, query=self.query._order(member, None, descending))
 
     def order_by(self, member: Member | str) -> Queryable:
         return self._sorted(member, False)
@@ -101,18 +94,3 @@ class Queryable:
     def raw_debug_view(self) -> str:
         return self.query.debug_view_raw_query()
 
-
-@dataclass(frozen=True)
-class _PathOrder:
-    """Order by a member of the JSON rest."""
-
-    path: tuple[str, ...]
-    map: Any
-    descending: bool
-    name: str = ""
-
-    def column(self, alias: str | None):
-        from ..operators.predicates import Scope
-
-        c = Scope(self.map, alias, False).resolve(self.path)
-        return c.desc() if self.descending else c.asc()

@@ -224,3 +224,31 @@ def test_slots(txn):
 def test_async_and_timeout(txn):
     assert asyncio.run(txn.query(Customer).with_timeout(60).run_async("count")) == 5
     assert asyncio.run(txn.run_async("load", Customer, "c1")).FirstName == "Alice"
+
+
+def test_members_as_columns_and_orders(txn):
+    q = txn.query(Customer).where_not_null("Nickname").order_by_descending(P.Address.Zip).column(P.FirstName).column(P.Address.Zip, "zip").as_type(tuple)
+    assert q.to_list() == [("100%", 11), ("Bob", 10), ("David", 2), ("Charlie", None)]
+
+
+@pytest.mark.parametrize("form", list(JsonFormat))
+def test_storage_formats(spark, tmp_path, form):
+    @dataclass
+    class Doc:
+        Id: str
+        Name: str = ""
+        Text: str = ""
+
+    m = DocumentMap("Doc", (Column("Name"),), document=Doc, json_format=form, json={"Text": "string"})
+    store = Store.versioned(spark, str(tmp_path), m)
+    with store.begin_write() as w:
+        w.insert(Doc("1", "n", "ü 漢\n"))
+        w.commit()
+    t = store.begin_read()
+    want = Doc("1", "n", "" if form is JsonFormat.NO_JSON else "ü 漢\n")
+    assert t.load(Doc, "1") == want
+    if form is not JsonFormat.NO_JSON:
+        assert t.queryable(Doc).where(P.Text.startswith("ü")).count() == 1
+    row = t.table("Doc").first().asDict()
+    assert (row.get("JSON") is not None) == (form in (JsonFormat.TEXT_ONLY, JsonFormat.MIXED_PREFER_TEXT))
+    assert (row.get("JSONBlob") is not None) == (form in (JsonFormat.COMPRESSED_ONLY, JsonFormat.MIXED_PREFER_COMPRESSED))
