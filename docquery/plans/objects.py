@@ -15,6 +15,7 @@ TYPES = ("string", "bigint", "int", "boolean")
 def as_view(query: Query, name: str) -> str:
     """A temporary view."""
     query._lower(ordered=bool(query.orders)).createOrReplaceTempView(name)
+    query.txn.store.views.add(name)
     return name
 
 

@@ -43,6 +43,7 @@ class Store:
         self.slow_seconds, self.concurrency, self.warn_commands = slow_seconds, concurrency, warn_commands
         self.procedures: dict[str, Callable[..., Any]] = {}
         self.hooks: list[Any] = []
+        self.views: set[str] = set()
         self.key_handlers = KeyHandlers()
         self.keys = KeyAllocator(self._reserve)
         self.open_transactions: set[ReadTransaction] = set()
@@ -136,7 +137,8 @@ class ReadTransaction:
     # sources
 
     def table(self, name: str) -> DataFrame:
-        return self.store.tables.read(name, self.version)
+        """A table as of this transaction, or a view that as_view made."""
+        return self.spark.table(name) if name in self.store.views else self.store.tables.read(name, self.version)
 
     def _mapped(self, wanted: Any) -> tuple[DocumentMap, Callable[[], DataFrame]]:
         m = self.store.maps.of(wanted)

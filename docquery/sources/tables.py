@@ -18,16 +18,16 @@ from pyspark.sql import types as T
 
 
 class ParquetTables:
-    """Read-only tables of a folder, ``<root>/<name>.parquet``, and of the catalog for qualified names."""
+    """Read-only tables of a folder, ``<root>/<name>.parquet``; qualified names and those in ``catalog`` are of the catalog."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, catalog: set[str] | None = None):
+        self.spark, self.root, self.catalog = spark, root.rstrip("/"), set(catalog or ())
 
     def latest(self) -> None:
         return None
 
     def read(self, name: str, version: Any = None) -> DataFrame:
-        if "." in name or self.spark.catalog.tableExists(name):
+        if "." in name or name in self.catalog:
             return self.spark.table(name)
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 

@@ -77,7 +77,9 @@ class WriteTransaction(ReadTransaction):
     # the tables as this transaction sees them
 
     def table(self, name: str) -> DataFrame:
-        known = self.store.tables.exists(name, self.version) if hasattr(self.store.tables, "exists") else True
+        if name in self.store.views:
+            return super().table(name)
+        known = self.store.tables.exists(name, self.version)
         rows = [super().table(name)] if known else []
         if known and name in self._deleted:
             gone = reduce(DataFrame.unionByName, self._deleted[name]).distinct()
