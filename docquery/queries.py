@@ -7,16 +7,18 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.json_members import compress, decompress
-from .mapping import Column, DocumentMap, JsonFormat
+from .mapping import Column, DocumentMap, JsonFormat, MapRegistry
 from .operators.predicates import ConditionGroup, P
 from .plans.objects import as_function, as_procedure, as_view
 from .sources.store import ReadTransaction, Store
+from .sources.tables import ParquetTables
 
 
 class Event:
@@ -47,7 +49,17 @@ CUSTOMER = _plain("customer", "c_custkey", T.LongType(), "c_name", "c_nationkey"
 NATION = _plain("nation", "n_nationkey", T.IntegerType(), "n_name", "n_regionkey")
 REGION = _plain("region", "r_regionkey", T.IntegerType(), "r_name")
 PART = _plain("part", "p_partkey", T.LongType(), "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
-EVENTS = DocumentMap("events", tuple(Column(c) for c in ("ts", "user_id", "value")), id="event_id", id_type=T.LongType(), document=Event, type_column="event_type", types={"click": Click, "purchase": Purchase}, json={"k": "bigint"})
+EVENTS = DocumentMap("events", table="event_documents", columns=tuple(Column(c) for c in ("ts", "user_id", "value")), id="event_id", id_type=T.LongType(), document=Event, type_column="event_type", types={"click": Click, "purchase": Purchase}, json={"k": "bigint"})
+
+
+class _Tables(ParquetTables):
+    """The driver's tables; events also as documents, whose props are the JSON rest."""
+
+    def read(self, name: str, version: Any = None) -> DataFrame:
+        if name == "event_documents":
+            return super().read("events", version).withColumnRenamed("props", "JSON")
+        return super().read(name, version)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,7 +68,7 @@ ORACLES: dict[str, str] = {}
 def _query(name: str, sql: str):
     def register(make: Callable[[ReadTransaction], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return make(Store.of_parquet(spark, sf_dir, ORDERS, CUSTOMER, NATION, REGION, PART, EVENTS).begin_read())
+            return make(Store(spark, _Tables(spark, sf_dir), MapRegistry(ORDERS, CUSTOMER, NATION, REGION, PART, EVENTS)).begin_read())
 
         QUERIES[name], ORACLES[name] = run, sql
         return make
@@ -139,29 +151,14 @@ _add("exists_scalar", lambda t: t.sql("select case when exists (select 1 from {o
 
 # JSON members and types
 _K = "try_cast(json_extract_string(props, '$.k') as bigint)"
-_EVENT = "event_id, ts, user_id, event_type, value"
-
-
-def _events(t: ReadTransaction, wanted=Event):
-    """events, whose props are the JSON rest."""
-    query = t.query(wanted)
-    return query.table("events_json")
-
-
-def _with_json(t: ReadTransaction) -> ReadTransaction:
-    read = t.store.tables.read
-    t.store.tables.read = lambda name, version=None: read("events", version).withColumnRenamed("props", "JSON").withColumn("tags", F.format_string('{"t": [%s, 7]}', F.col("user_id") % 5)) if name == "events" else read(name, version)
-    return t
-
-
-_add("json_eq", lambda t: _with_json(t).queryable(Event).where(P.k == 5).select(P.event_id, P.user_id).to_df(), f"select event_id, user_id from events where {_K} = 5")
-_add("json_range", lambda t: _with_json(t).queryable(Event).where(P.k.between(10, 20)).select(P.event_id).to_df(), f"select event_id from events where {_K} between 10 and 20")
-_add("json_is_null", lambda t: _with_json(t).queryable(Event).where(P.missing.part.is_null()).where(P.k.is_not_null()).select(P.event_id).to_df(), "select event_id from events where json_extract(props, '$.missing.part') is null and json_extract(props, '$.k') is not null")
-_add("json_project", lambda t: _with_json(t).queryable(Event).select(P.event_id, k=P.k).to_df(), f"select event_id, {_K} as k from events")
-_add("json_order", lambda t: _with_json(t).queryable(Event).order_by_descending(P.k).then_by(P.event_id).take(20).select(P.event_id).to_df(), f"select event_id from events order by {_K} desc nulls last, event_id limit 20")
+_add("json_eq", lambda t: t.queryable(Event).where(P.k == 5).select(P.event_id, P.user_id).to_df(), f"select event_id, user_id from events where {_K} = 5")
+_add("json_range", lambda t: t.queryable(Event).where(P.k.between(10, 20)).select(P.event_id).to_df(), f"select event_id from events where {_K} between 10 and 20")
+_add("json_is_null", lambda t: t.queryable(Event).where(P.missing.part.is_null()).where(P.k.is_not_null()).select(P.event_id).to_df(), "select event_id from events where json_extract(props, '$.missing.part') is null and json_extract(props, '$.k') is not null")
+_add("json_project", lambda t: t.queryable(Event).select(P.event_id, k=P.k).to_df(), f"select event_id, {_K} as k from events")
+_add("json_order", lambda t: t.queryable(Event).order_by_descending(P.k).then_by(P.event_id).take(20).select(P.event_id).to_df(), f"select event_id from events order by {_K} desc nulls last, event_id limit 20")
 _add("json_array_contains", lambda t: t.raw_sql_query("select event_id, format_string('{{\"t\": [%s, 7]}}', user_id % 5) as JSON from {events}").where("array_contains(from_json(get_json_object(JSON, '$.t'), 'array<int>'), @v)").parameter("v", 3).column("event_id").to_df(), "select event_id from events where user_id % 5 = 3")
 _add("polymorphic_scan", lambda t: t.query(Click).column("event_id").column("event_type").to_df(), "select event_id, event_type from events where event_type = 'click'")
-_add("polymorphic_base_scan", lambda t: t.query(Event).column("event_id").to_df(), "select event_id from events")
+_add("polymorphic_base_scan", lambda t: t.query(Event).to_df(), "select event_id, ts, user_id, event_type, value, props as JSON from events")
 _add("polymorphic_join", lambda t: t.query("customer").alias("c").inner_join(t.query(Purchase), "e").on("c_custkey", "user_id").column("c_custkey", None, "c").column("event_id", None, "e").to_df(), "select c_custkey, event_id from customer join (select * from events where event_type = 'purchase') e on c_custkey = user_id")
 _add("compressed_round_trip", lambda t: t.from_table("events").to_df().select("event_id", decompress(compress("props")).alias("props")), "select event_id, props from events")
 

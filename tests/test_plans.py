@@ -4,6 +4,7 @@ import os
 
 import pytest
 from docquery import queries as q
+from docquery.mapping import MapRegistry
 from docquery.operators.predicates import P
 from docquery.sources.store import Store
 
@@ -13,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tabl
 
 @pytest.fixture(scope="module")
 def txn(spark):
-    return Store.of_parquet(spark, SF, q.ORDERS, q.CUSTOMER, q.NATION, q.EVENTS).begin_read()
+    return Store(spark, q._Tables(spark, SF), MapRegistry(q.ORDERS, q.CUSTOMER, q.NATION, q.EVENTS)).begin_read()
 
 
 def plan(df):
