@@ -47,15 +47,28 @@ def phrases(print_: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.regexp_replace(print_, "(^[0-9a-f]+|[|][0-9a-f]+|/[0-9a-f]+:)", "/"), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0)))
 
 
-def likeness(x: Column, y: Column) -> Column:
-    """0 to 1 from two fingerprints; 1 if the roots agree, 0 if just one text is empty."""
-
-    def dice(p: Column) -> Column:
+def _dice(x_root: Column, x: Column, y_root: Column, y: Column) -> Column:
+    def of(p: Column) -> Column:
         both = F.size(F.array_intersect(p["x"], p["y"]))
         total = F.size(p["x"]) + F.size(p["y"])
         return F.when(total > 0, 2.0 * both / total).otherwise(F.lit(1.0))
 
-    return F.when(F.substring(x, 1, ROOT) == F.substring(y, 1, ROOT), F.lit(1.0)).otherwise(let(F.struct(phrases(x).alias("x"), phrases(y).alias("y")), dice))
+    return F.when(x_root == y_root, F.lit(1.0)).otherwise(let(F.struct(x.alias("x"), y.alias("y")), of))
+
+
+def likeness(x: Column, y: Column) -> Column:
+    """0 to 1 from two fingerprints; 1 if the roots agree, 0 if just one text is empty."""
+    return _dice(F.substring(x, 1, ROOT), phrases(x), F.substring(y, 1, ROOT), phrases(y))
+
+
+def packed_phrases(print_: Column) -> Column:
+    """The distinct phrases of a fingerprint as bytes, half their size in digits."""
+    return F.unhex(F.array_join(phrases(print_), ""))
+
+
+def likeness_to_packed(x: Column, y_root: Column, y_packed: Column) -> Column:
+    """likeness of x to a fingerprint of which the root and the packed phrases are at hand."""
+    return _dice(F.substring(x, 1, ROOT), phrases(x), y_root, F.regexp_extract_all(F.lower(F.hex(y_packed)), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0)))
 
 
 def changed_paragraphs(x: Column, y: Column) -> Column:
@@ -104,13 +117,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     sized = own.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 2)).alias("half"))
     order = succession(sized)
     dealt = own.where("doc_id is not null").join(order.hint("merge"), "doc_id").withColumn("fingerprint", fingerprint(F.col("text")))
-    given = dealt.select(F.col("prev_id").alias("doc_id"), F.struct(F.expr("left(text, prev_half)").alias("head"), "fingerprint").alias("next"))
+    of_next = [F.substring("fingerprint", 1, ROOT).alias("root"), packed_phrases(F.col("fingerprint")).alias("packed")]
+    given = dealt.select(F.col("prev_id").alias("doc_id"), F.struct(F.expr("left(text, prev_half)").alias("head"), *of_next).alias("next"))
     given = given.groupBy("doc_id").agg(F.min("next").alias("next"))
-    both = dealt.select("doc_id", "text", "fingerprint").join(given, "doc_id", "left").unionByName(own.where("doc_id is null").select("doc_id", "text", fingerprint(F.col("text")).alias("fingerprint"), F.struct(F.col("text").alias("head"), fingerprint(F.col("text")).alias("fingerprint")).alias("next")))
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = both.withColumn("edited", F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 2)))"), F.substring(F.col("next.head"), F.lit(1), half)))
-    shown = edited.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), F.col("next.fingerprint").alias("next_fingerprint"))
-    return shown.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    alone = own.where("doc_id is null").withColumn("fingerprint", fingerprint(F.col("text"))).select("doc_id", "text", "fingerprint", F.struct(F.col("text").alias("head"), *of_next).alias("next"))
+    both = dealt.select("doc_id", "text", "fingerprint").join(given, "doc_id", "left").unionByName(alone)
+    edited = F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 2)))"), F.expr("left(next.head, int(floor(length(text) / 2)))"))
+    shown = both.withColumn("edited", edited).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next")
+    near_edited = likeness(F.col("fingerprint"), F.col("edited_fingerprint"))
+    near_next = likeness_to_packed(F.col("fingerprint"), F.col("next.root"), F.col("next.packed"))
+    return shown.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near_edited.alias("near_edited"), near_next.alias("near_next"))
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
