@@ -17,9 +17,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; a local one is set only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="docquery-")
+    named, used = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir()
+    found = named or used or tempfile.mkdtemp(prefix="docquery-")
+    if not used:
         spark.sparkContext.setCheckpointDir(found)
     return found
 
