@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.llm import best_fit_packing, language_id, minhash_dedup, quality_rules
+from docquery.llm.common import small_side
+
+
+#: Rejected ids up to which they are broadcast instead of shuffling all texts.
+BROADCAST_IDS = 1_000_000
 
 
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id the verdicts (doc_id, kept) keep; rows of one doc_id stay if one of them is kept."""
-    ids = verdicts.where("kept").select("doc_id").distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
+    gone = verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("not stays").select("doc_id")
+    gone = small_side(gone, BROADCAST_IDS)
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
