@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let, lower_ascii, words
+from .common import checkpoint, let, lower_ascii, small_side, words
 
 #: Low bits kept of each minimum.
 BITS = 2
 #: Standard deviations below the threshold at which the estimate drops a pair.
 MARGIN = 5.5
+#: Sets with copies up to which they are broadcast, at 32 bytes each.
+BROADCAST_SETS = 1_000_000
 #: Shingles that a task hashes at once.
 CHUNK = 1 << 16
 
@@ -167,8 +169,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
     sets = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), shingles(F.col("text"), shingle).alias("set"))
     sigs = checkpoint(signature_table(sets, per_band, bands))
     named = sigs.where("n > 0 and doc_id is not null")
-    nodes = named.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    same = checkpoint(named.select("doc_id", "n", "a", "b").join(nodes, ["n", "a", "b"]).select("doc_id", "rep"))
+    copies = named.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    same = named.select("doc_id", "n", "a", "b").join(small_side(copies, BROADCAST_SETS), ["n", "a", "b"], "left")
+    same = checkpoint(same.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
     linked = same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     # smaller sets reach the threshold with equal sets only
     facts = named.where(F.col("n") * (100 - percent) >= percent).join(same.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
