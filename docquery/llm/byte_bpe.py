@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: A space that the next pre-token doesn't begin with.
 _UNSAFE = regex.compile(r" (?:\s|\Z)").search
-#: Pre-tokens that a task remembers; beyond these it starts anew.
+#: Pre-tokens that a worker remembers; beyond these it starts anew.
 REMEMBERED = 500_000
 
 
@@ -121,6 +121,17 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+#: The coder of this worker process, by the digest of its model; tasks that follow each other share what it remembers.
+_KEPT: dict[str, ByteBpe] = {}
+
+
+def kept_coder(digest: str, shared) -> ByteBpe:
+    if digest not in _KEPT:
+        _KEPT.clear()
+        _KEPT[digest] = ByteBpe(*shared.value)
+    return _KEPT[digest]
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, array<int>, on request) for each row of docs (doc_id, text; others are ignored).
 
@@ -128,10 +139,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     text counts as empty: no ids. Repeated rows each get their row; no rows give no rows. ranks_path is read by the driver alone.
     """
     tokens = read_ranks(ranks_path)
-    shared = docs.sparkSession.sparkContext.broadcast((tokens, serialise_model(tokens), pattern))
+    model = serialise_model(tokens)
+    digest = hashlib.sha256(model + pattern.encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, model, pattern))
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = ByteBpe(*shared.value)
+        coder = kept_coder(digest, shared)
         for texts in parts:
             rows = []
             for text in texts:
