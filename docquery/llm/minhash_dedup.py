@@ -30,8 +30,8 @@ from .common import checkpoint, let, lower_ascii, small_side, words
 BITS = 2
 #: Standard deviations below the threshold at which the estimate drops a pair.
 MARGIN = 5.5
-#: Sets with copies up to which they are broadcast, at 32 bytes each.
-BROADCAST_SETS = 1_000_000
+#: Rows of a narrow table (labels of linked documents, sets with copies; 32 bytes each) up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Shingles that a task hashes at once.
 CHUNK = 1 << 16
 
@@ -129,17 +129,22 @@ def estimate(x: Column, y: Column, hashes: int) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) to (id, comp): the smallest id that each id of an edge reaches. Minimum labels with pointer jumping."""
+    """(a, b) to (id, comp): the smallest id that each id of an edge reaches. Minimum labels with pointer jumping.
+
+    Labels are broadcast while there are up to BROADCAST_ROWS of them, else shuffled.
+    """
     both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = checkpoint(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
+    small = labels.count() <= BROADCAST_ROWS
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        step = labels.join(near, "id").select("id", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+        side = F.broadcast(labels) if small else labels
+        near = both.join(side.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
+        step = near.join(side, "id").select("id", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
+        jump = side.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
         step = checkpoint(step.join(jump, "comp").select("id", F.least("comp", "up").alias("comp"), "old"))
         labels = step.select("id", "comp")
         if step.where("comp < old").isEmpty():
-            return labels
+            return F.broadcast(labels) if small else labels
 
 
 def _exact(x: Column, y: Column, percent: int) -> Column:
@@ -170,7 +175,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
     sigs = checkpoint(signature_table(sets, per_band, bands))
     named = sigs.where("n > 0 and doc_id is not null")
     copies = named.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    same = named.select("doc_id", "n", "a", "b").join(small_side(copies, BROADCAST_SETS), ["n", "a", "b"], "left")
+    same = named.select("doc_id", "n", "a", "b").join(small_side(copies, BROADCAST_ROWS), ["n", "a", "b"], "left")
     same = checkpoint(same.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
     linked = same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     # smaller sets reach the threshold with equal sets only

@@ -79,3 +79,9 @@ def test_group_of_spread_near_copies(spark):
         rows.append((i, " ".join(w)))
     got = m.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 0.85).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, 3, 85)
+
+
+def test_shuffled_labels(docs, corpus, monkeypatch):
+    monkeypatch.setattr(m, "BROADCAST_ROWS", 0)
+    got = m.near_duplicates(docs, shingle=3, threshold=0.85).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(corpus, 3, 85)
