@@ -7,8 +7,11 @@ batches), keeps 64-bit keys of bands of minima and the low bits of all minima, p
 2. Star rounds: each bucket of a band links its members to one of them, not all pairs. Pairs are dropped by
    the estimate from the packed bits (corrected for chance collisions, with a margin of MARGIN standard
    deviations) and confirmed on full sets. Buckets whose members are in one component by then are done.
-3. Buckets that still hold several components compare the rest: members of different components, with bounds
-   on sizes and the estimate before the exact intersection, all in the join's condition. This has no cap.
+3. In buckets that still hold several components, a document stays if one of its rarest shingles is also among
+   the rarest of a likely partner in another component. As many shingles count as rarest that no link can do
+   without one, so a passage that many documents share brings none of them together.
+4. These buckets compare the rest: members of different components, with bounds on sizes and the estimate
+   before the exact intersection, all in the join's condition. This has no cap.
 
 So every pair that meets in a band is either confirmed, refuted or already connected. A pair at the threshold
 meets in no band with a probability below ``miss`` (1e-6).
@@ -201,8 +204,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, r
         found = pairs.join(full.alias("x"), F.expr("a = x.doc_id")).join(full.alias("y"), F.expr("b = y.doc_id")).where(_exact(F.col("x.set"), F.col("y.set"), percent)).select("a", "b")
         edges = checkpoint(found if edges is None else edges.union(found))
         comp = components(edges)
-    rest = _unresolved(rest, comp).join(facts, "id")
-    rest = checkpoint(rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.comp <> y.comp") & likely("x", "y"), "left_semi"))
+    rest = _unresolved(rest, comp)
+    full = checkpoint(_sets_of(docs, rest.select(F.col("id").alias("doc_id")).distinct(), shingle))
+    rare = _unresolved(rarest(full, percent), comp).join(facts, "id")
+    able = rare.alias("x").join(rare.alias("y"), F.expr("x.key = y.key and x.comp <> y.comp") & likely("x", "y"), "left_semi").select("id").distinct()
+    rest = checkpoint(rest.join(checkpoint(able), "id", "left_semi").join(facts, "id"))
     full = _sets_of(docs, rest.select(F.col("id").alias("doc_id")).distinct(), shingle)
     rest = rest.join(full.withColumnRenamed("doc_id", "id"), "id")
     both = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.comp < y.comp") & likely("x", "y") & _exact(F.col("x.set"), F.col("y.set"), percent))
@@ -219,6 +225,19 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return texts.select("doc_id", shingles(F.col("text"), shingle).alias("set"))
 
 
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, set) to (id, key): the rarest shingles of each set, except those of this set alone.
+
+    Shingles are ordered by their number of sets, then by value. Of n shingles the first n - ceil(n * percent / 100) + 1
+    are taken, so two sets with a similarity of percent or more have one in common.
+    """
+    each = sets.select(F.col("doc_id").alias("id"), F.explode("set").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    ranked = each.join(often, "key", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "key"))).alias("all"))
+    first = F.slice("all", F.lit(1), (F.size("all") - F.ceil(F.size("all") * percent / F.lit(100)) + 1).cast("int"))
+    return ranked.select("id", F.explode(F.filter(first, lambda s: s["times"] > 1)).alias("s")).select("id", "s.key")
+
+
 def _unresolved(rest: DataFrame, comp: DataFrame) -> DataFrame:
     """Rows of buckets that hold more than one component, each with its component."""
     rows = rest.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
