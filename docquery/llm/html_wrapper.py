@@ -204,17 +204,13 @@ def _rank(path: str) -> int:
     return 2 if any(x in MAIN_WORDS for n in names for w in n[1:] for x in re.split("[-_]", w)) else 3
 
 
-def main_paths(wrapper: list, facts: dict[str, tuple[int, int, bool]]) -> list[str]:
-    """Paths of main text: outside boilerplate, of the best rank that has text; without an article or main, slots that are mostly links or, on three pages or more, the same everywhere are left out.
+def main_paths(wrapper: list, facts: dict[str, tuple[int, int, bool]]) -> dict[str, int]:
+    """Paths that may hold main text, with their ranks: outside boilerplate; without an article or main, slots that are mostly links or, on three pages or more, the same everywhere are left out.
 
     facts: characters, characters in links and sameness on three pages or more of each path.
     """
-    open_ = [p for p in slot_paths(wrapper) if not is_boilerplate(p)]
-    best = min(map(_rank, open_), default=3)
-    chosen = [p for p in open_ if _rank(p) == best]
-    if best < 2:
-        return chosen
-    return [p for p in chosen if p in facts and 2 * facts[p][1] <= facts[p][0] and not facts[p][2]]
+    ranks = {p: _rank(p) for p in slot_paths(wrapper) if not is_boilerplate(p)}
+    return {p: r for p, r in ranks.items() if r < 2 or p in facts and 2 * facts[p][1] <= facts[p][0] and not facts[p][2]}
 
 
 def host(url: Column) -> Column:
@@ -222,7 +218,7 @@ def host(url: Column) -> Column:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, html) to a row for each host: wrapper (JSON) and paths of main text."""
+    """(host, html) to a row for each host: wrapper (JSON), paths of main text and their ranks."""
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -255,7 +251,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     def choose(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         wrapper = json.loads(rows.wrapper.iloc[0]) if len(rows) else []
         facts_ = {p: (n, k, s) for p, n, k, s in zip(known.path, known.n, known.links, known.same, strict=True)}
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)], "paths": [main_paths(wrapper, facts_)]})
+        chosen = main_paths(wrapper, facts_)
+        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)], "paths": [list(chosen)], "ranks": [list(chosen.values())]})
 
     parts = found.select("host", F.col("stream").alias("wrapper")).distinct()
     while True:
@@ -264,30 +261,33 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         parts = checkpoint(dealt.groupBy("host", "part").applyInPandas(merge, "host string, wrapper string"))
         if sizes.where("groups > 1").isEmpty():
             break
-    return parts.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(choose, "host string, wrapper string, paths array<string>")
+    return parts.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(choose, "host string, wrapper string, paths array<string>, ranks array<int>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html; others are ignored).
 
     Blocks have their references decoded, white space turned into single spaces and their ends trimmed, and are joined in
-    page order by a newline. Null and empty pages give an empty text. Null URLs and those without :// share the empty host.
+    page order by a newline. Each page takes the best rank that has text on it, whatever the other pages of its host have.
+    Null and empty pages give an empty text. Null URLs and those without :// share the empty host.
     Repeated rows each get their row; no rows give no rows.
     """
     own = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    wrappers = checkpoint(infer_wrappers(own.select("host", "html"))).select("host", "paths")
+    wrappers = checkpoint(infer_wrappers(own.select("host", "html"))).select("host", "paths", "ranks")
     size = wrappers.agg(F.coalesce(F.sum(F.length("host") + 64 + F.length(F.array_join("paths", ",")) * 2), F.lit(0))).first()[0]
     joined = own.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
 
-    def main_text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for pages_, paths_ in parts:
+    def main_text(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for columns in parts:
             out = []
-            for page, paths in zip(pages_, paths_, strict=True):
-                wanted = set(paths) if paths is not None else set()
-                out.append("\n".join(text for path, text, _ in blocks_of(page or "") if path in wanted))
+            for page, paths, ranks in zip(*columns, strict=True):
+                rank_of = dict(zip(paths, ranks, strict=True)) if paths is not None else {}
+                found = [(rank_of[path], text) for path, text, _ in blocks_of(page or "") if path in rank_of]
+                best = min((r for r, _ in found), default=0)
+                out.append("\n".join(text for r, text in found if r == best))
             yield pd.Series(out, dtype=object)
 
-    shown = joined.select("page_id", "url", F.pandas_udf(main_text, T.StringType())("html", "paths").alias("text"))
+    shown = joined.select("page_id", "url", F.pandas_udf(main_text, T.StringType())("html", "paths", "ranks").alias("text"))
     return shown.withColumn("n_chars", F.length("text").cast("bigint"))
 
 

@@ -72,3 +72,10 @@ def test_broken_markup(spark):
         ("http://f/4", page("<p>" + "<b x=\"" * 3000 + "end")),
     ])
     assert got[0] == "it's\nx\nz" and got[2] == "1 < 2 & 3 > 2\na\nb"
+
+
+def test_mixed_layouts_of_a_host(spark):
+    """A page without an article keeps its text, whatever the other pages of its host have."""
+    pages = [("http://g/1", page("<p>one</p>")), ("http://g/2", "<body><main><p>two</p></main></body>"), ("http://g/3", "<body><div class=content><p>three</p></div><div>x</div></body>"), ("http://g/4", "<body><div><p>four</p></div></body>")]
+    assert texts(spark, pages) == ["one", "two", "three", "four"]
+    assert texts(spark, [(None, page("<p>no url</p>")), ("x", "plain &amp; text")]) == ["no url", "plain & text"]
