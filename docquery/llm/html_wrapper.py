@@ -38,7 +38,14 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot div article section main body html nav aside form select menu blockquote".split())
 #: Elements and words in class, id or role that hold no main text.
 NOT_MAIN_TAGS = frozenset("head title nav aside footer form menu dialog button select option label fieldset legend search".split())
-NOT_MAIN_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar side aside rail complementary contentinfo cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations more-from trending comment comments reply replies respond discussion disqus reader-comments pagination pager tags tagcloud widget widgets toolbar copyright legal disclaimer hidden skip".split())
+NOT_MAIN_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments reply replies respond discussion disqus pagination pager tagcloud widget widgets copyright".split())
+#: Of these the whole class, id or role counts, not a part of a longer one.
+NOT_MAIN_NAMES = frozenset("sidebar hidden more-from reader-comments toolbar overlay complementary contentinfo".split())
+#: Names that say nothing alone; what the slot holds decides.
+AMBIGUOUS_NAMES = frozenset("header side rail aside banner notice notices alert search more tags legal disclaimer skip".split())
+#: With one of the first in it, a name is a state of the layout; with one of the others, a name of a container that holds an article or main is one of the layout.
+STATES = frozenset("no not has have with without".split())
+LAYOUT_WORDS = STATES | frozenset("wrap wrapper wrapped container layout fixed sticky inner outer page site body content main".split())
 MAIN_WORDS = ("article", "main", "content", "post", "entry", "story")
 
 #: Attributes: quotes count after an equals sign only, and no choice is taken back, so broken quotes cost no more than a scan.
@@ -182,35 +189,52 @@ def slot_paths(wrapper: list) -> list[str]:
     return list(found)
 
 
+def _words(name: str) -> list[str]:
+    return re.split("[-_]", name)
+
+
+def _split(path: str) -> tuple[list[list[str]], list[list[str]]]:
+    """The containers of a path, as tag and names: those that hold its first article or main, and the rest from there on."""
+    names = [name.split(".") for name in path.split("/")]
+    at = next((i for i, n in enumerate(names) if n[0] in ("article", "main")), 0)
+    return names[:at], names[at:]
+
+
 def is_boilerplate(path: str) -> bool:
-    inside = False
-    for name in path.split("/"):
-        tag, *of = name.split(".")
-        inside |= tag in ("article", "main")
-        if tag in NOT_MAIN_TAGS or tag == "header" and not inside:
-            return True
-        if any(w in NOT_MAIN_WORDS or any(x in NOT_MAIN_WORDS for x in re.split("[-_]", w)) for w in of) and tag not in ("article", "main", "body", "html"):
-            return True
-    return False
+    """By element anywhere; by name only from an article or main on, as the containers of these are named for the layout."""
+    holders, rest = _split(path)
+    inside = rest[0][0] in ("article", "main")
+    if any(n[0] in NOT_MAIN_TAGS or n[0] == "header" and not inside or "hidden" in n[1:] for n in holders + rest):
+        return True
+    return any(w in NOT_MAIN_NAMES or any(x in NOT_MAIN_WORDS for x in _words(w)) and not STATES.intersection(_words(w)) for tag, *of in rest if tag not in ("article", "main", "body", "html") for w in of)
+
+
+def is_ambiguous(path: str) -> bool:
+    """Named like boilerplate by a word that is also used for text."""
+    return any(w in AMBIGUOUS_NAMES for tag, *of in _split(path)[1] if tag not in ("article", "main", "body", "html") for w in of)
 
 
 def _rank(path: str) -> int:
-    """0 inside article, 1 inside main, 2 inside a container named like main text, 3 elsewhere."""
-    names = [name.split(".") for name in path.split("/")]
-    if any(n[0] == "article" for n in names):
+    """0 inside article, 1 inside main, 2 inside one of these in a container named like boilerplate, 3 inside a container named like main text, 4 elsewhere."""
+    holders, rest = _split(path)
+    if rest[0][0] in ("article", "main"):
+        for tag, *of in holders:
+            if tag not in ("body", "html") and any((w in NOT_MAIN_NAMES or any(x in NOT_MAIN_WORDS for x in _words(w))) and not LAYOUT_WORDS.intersection(_words(w)) for w in of):
+                return 2
+    if any(n[0] == "article" for n in rest):
         return 0
-    if any(n[0] == "main" or "main" in n[1:] for n in names):
+    if any(n[0] == "main" or "main" in n[1:] for n in holders + rest):
         return 1
-    return 2 if any(x in MAIN_WORDS for n in names for w in n[1:] for x in re.split("[-_]", w)) else 3
+    return 3 if any(x in MAIN_WORDS for n in rest for w in n[1:] for x in _words(w)) else 4
 
 
 def main_paths(wrapper: list, facts: dict[str, tuple[int, int, bool]]) -> dict[str, int]:
-    """Paths that may hold main text, with their ranks: outside boilerplate; without an article or main, slots that are mostly links or, on three pages or more, the same everywhere are left out.
+    """Paths that may hold main text, with their ranks: outside boilerplate; without an article or main, or with an ambiguous name, slots that are mostly links or, on three pages or more, the same everywhere are left out.
 
     facts: characters, characters in links and sameness on three pages or more of each path.
     """
     ranks = {p: _rank(p) for p in slot_paths(wrapper) if not is_boilerplate(p)}
-    return {p: r for p, r in ranks.items() if r < 2 or p in facts and 2 * facts[p][1] <= facts[p][0] and not facts[p][2]}
+    return {p: r for p, r in ranks.items() if r < 3 and not is_ambiguous(p) or p in facts and 2 * facts[p][1] <= facts[p][0] and not facts[p][2]}
 
 
 def host(url: Column) -> Column:

@@ -79,3 +79,14 @@ def test_mixed_layouts_of_a_host(spark):
     pages = [("http://g/1", page("<p>one</p>")), ("http://g/2", "<body><main><p>two</p></main></body>"), ("http://g/3", "<body><div class=content><p>three</p></div><div>x</div></body>"), ("http://g/4", "<body><div><p>four</p></div></body>")]
     assert texts(spark, pages) == ["one", "two", "three", "four"]
     assert texts(spark, [(None, page("<p>no url</p>")), ("x", "plain &amp; text")]) == ["no url", "plain & text"]
+
+
+def test_names_of_the_layout(spark):
+    """Wrappers of an article don't make it boilerplate; ambiguous names in an article are judged by what they hold."""
+    wrappers = ['div class="content-sidebar-wrap"', 'div class="no-sidebar"', 'div class="has-sidebar"', 'div id="page" class="header-fixed"', 'section class="with-comments"', 'div class="sidebar"']
+    pages = [(f"http://h/{i}", f"<body><{w}><article><p>text {i}</p></article></{w.split()[0]}></body>") for i, w in enumerate(wrappers)]
+    assert texts(spark, pages) == [f"text {i}" for i in range(6)]
+    inner = lambda i: "".join(f"<div class={c}><p>{c} {i}</p></div>" for c in ("more", "notice", "legal", "tags", "share", "sidebar")) + "<div class=alert>same</div><div class=side><a href=/>links</a></div>"
+    assert texts(spark, [(f"http://i/{i}", page(inner(i))) for i in range(4)]) == [f"more {i}\nnotice {i}\nlegal {i}\ntags {i}" for i in range(4)]
+    teaser = "<body><article><p>own</p></article><div class=related-posts><article><p>teaser</p></article></div></body>"
+    assert texts(spark, [("http://j/1", teaser)]) == ["own"]
