@@ -32,7 +32,12 @@ LONGEST_RUN, FAN_IN, BROADCAST_BYTES = 8, 64, 32 << 20
 # fixed values: elements of the HTML standard by kind
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea"
+#: Elements whose content is text without markup, up to their end tag; the first two go on to the end of the page without one.
+RAW = frozenset("script style iframe noembed noframes textarea".split())
+#: Inline elements that stand apart from the words around them.
+APART = frozenset("br hr img svg object canvas audio video noscript template".split())
+#: Parts of a drawing that aren't shown.
+NOT_SHOWN = frozenset("title desc metadata".split())
 #: A new element of this kind closes an open one of these kinds, unless a container stands between.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot div article section main body html nav aside form select menu blockquote".split())
@@ -50,7 +55,8 @@ MAIN_WORDS = ("article", "main", "content", "post", "entry", "story")
 
 #: Attributes: quotes count after an equals sign only, and no choice is taken back, so broken quotes cost no more than a scan.
 _VALUES = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+"""
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b{_VALUES}>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|</(?P<close>[a-zA-Z][^\s>/]*)[^>]*>|<(?P<open>[a-zA-Z][^\s>/]*)(?P<attrs>{_VALUES})>|<[/a-zA-Z][^<>]*\Z|(?P<text>[^<]+|<)""", re.S | re.I)
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|</(?P<close>[a-zA-Z][^\s>/]*)[^>]*>|<(?P<open>[a-zA-Z][^\s>/]*)(?P<attrs>{_VALUES})>|<[/a-zA-Z][^<>]*\Z|(?P<text>[^<]+|<)""", re.S | re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -91,43 +97,73 @@ def blocks_of(page: str) -> Iterator[tuple[str, str, int]]:
             if stack[i][0] in walls:
                 return
 
-    for m in _TOKEN.finditer(page):
-        kind = m.lastgroup
-        if kind == "text" or kind == "cdata":
-            parts.append(m[kind])
-            if in_link:
-                links += len(m[kind].strip())
-            continue
-        if kind == "close":
-            tag = m["close"].lower()
-            if tag == "a":
-                in_link = 0
-            if tag in BLOCKS:
-                yield from flush()
-                yield from pop((tag,), frozenset())
-            continue
-        if kind not in ("attrs", "open"):
-            if kind == "raw":
+    foreign = {"svg": 0, "math": 0}  # open ones
+    unseen = ""  # open part of a drawing that isn't shown
+    endless: set[str] = set()  # raw elements without another end tag
+    at = 0
+    while at < len(page):
+        start, at = at, len(page)
+        for m in _TOKEN.finditer(page, start):
+            kind = m.lastgroup
+            if kind == "text" or kind == "cdata":
+                if not unseen:
+                    parts.append(m[kind])
+                    if in_link:
+                        links += len(m[kind].strip())
+                continue
+            if kind == "close":
+                tag = m["close"].lower()
+                if tag == "a":
+                    in_link = 0
+                if tag in foreign:
+                    foreign[tag] = max(foreign[tag] - 1, 0)
+                if tag in APART:
+                    parts.append(" ")
+                if unseen:
+                    if tag == unseen or tag == "svg" or tag in BLOCKS:
+                        shut, unseen = unseen, ""
+                        if tag == shut:
+                            continue
+                if tag in BLOCKS:
+                    yield from flush()
+                    yield from pop((tag,), frozenset())
+                continue
+            if kind not in ("attrs", "open"):
+                continue
+            tag, attrs = m["open"].lower(), m["attrs"] or ""
+            closed = attrs.rstrip().endswith("/")
+            if tag in foreign:
+                foreign[tag] += not closed
+            if tag in RAW and not (closed and (tag not in ("script", "style") or foreign["svg"] or foreign["math"])):
+                end = None if tag in endless else _RAW_END[tag].search(page, m.end())
+                if end is not None or tag in ("script", "style"):
+                    parts.append(" ")
+                    at = end.end() if end is not None else len(page)
+                    break
+                endless.add(tag)
+            if tag in RAW:
+                continue
+            if tag in APART:
                 parts.append(" ")
-            continue
-        tag, attrs = m["open"].lower(), m["attrs"] or ""
-        if tag in ("br", "hr", "img"):
-            parts.append(" ")
-        if tag == "a":
-            in_link = 1
-        if tag not in BLOCKS or tag in VOID:
-            if tag == "hr":
-                yield from flush()
-            continue
-        yield from flush()
-        yield from pop(("p",), HOLDERS)
-        if tag in CLOSES:
-            yield from pop(CLOSES[tag], HOLDERS)
-        if tag[0] == "h" and tag[1:].isdigit():
-            yield from pop(("h1", "h2", "h3", "h4", "h5", "h6"), HOLDERS)
-        if not attrs.rstrip().endswith("/"):
-            stack.append((tag, _name(tag, attrs)))
-            yield "", "<" + stack[-1][1], 0
+            if tag == "a":
+                in_link = 1
+            if foreign["svg"] and tag in NOT_SHOWN:
+                unseen = unseen or ("" if closed else tag)
+                continue
+            if tag not in BLOCKS or tag in VOID:
+                if tag == "hr":
+                    yield from flush()
+                continue
+            unseen = ""
+            yield from flush()
+            yield from pop(("p",), HOLDERS)
+            if tag in CLOSES:
+                yield from pop(CLOSES[tag], HOLDERS)
+            if tag[0] == "h" and tag[1:].isdigit():
+                yield from pop(("h1", "h2", "h3", "h4", "h5", "h6"), HOLDERS)
+            if not closed:
+                stack.append((tag, _name(tag, attrs)))
+                yield "", "<" + stack[-1][1], 0
     yield from flush()
 
 

@@ -90,3 +90,20 @@ def test_names_of_the_layout(spark):
     assert texts(spark, [(f"http://i/{i}", page(inner(i))) for i in range(4)]) == [f"more {i}\nnotice {i}\nlegal {i}\ntags {i}" for i in range(4)]
     teaser = "<body><article><p>own</p></article><div class=related-posts><article><p>teaser</p></article></div></body>"
     assert texts(spark, [("http://j/1", teaser)]) == ["own"]
+
+
+def shown(body):
+    return [text for path, text, _ in h.blocks_of(f"<article>{body}</article>") if path]
+
+
+def test_elements_that_hold_text():
+    """Only the content of script, style and the like is no text; others neither swallow what follows nor lose what they hold."""
+    for tag in ("svg", "object", "video", "audio", "canvas", "math", "iframe", "template", "noscript"):
+        assert shown(f"<p>a</p><{tag} x='1'/><p>b</p><{tag}></{tag}><p>c</p>") == ["a", "b", "c"]
+        assert shown(f"<p>a</p><{tag}><p>b</p>")[0] == "a" and shown(f"<p>a</p><{tag}><p>b</p>")[-1] == "b"
+    for tag in ("svg", "object", "template"):
+        assert shown(f"<p>a</p><{tag}><{tag}></{tag}></{tag}><p>b</p>") == ["a", "b"]
+    assert shown("<p>x <math><mi>y</mi><mo>=</mo><mn>2</mn></math> z</p><noscript>no script</noscript><object>fallback</object>") == ["x y=2 z", "no script fallback"]
+    assert shown("<p>a <svg><title>icon</title><desc>d</desc><style/><script/><text>t</text></svg> b</p>") == ["a t b"]
+    assert shown("<p>a</p><script>x</p><p>no</script ><style>y</style><my-script>b</my-script><script-x>c</script-x><iframe>no</iframe>") == ["a", "bc"]
+    assert shown("<p>a</p><script>never ends <p>no</p>") == ["a"]
