@@ -2,9 +2,9 @@
 
 Each page becomes a stream of block tags and text slots in which repeated runs are folded into repeated groups
 ``(+ ...)``. Equal streams of a host are counted once; the distinct ones are aligned one after another, and
-tokens without a partner become optional. Every text slot of the wrapper has a path of containers; together with what the
-host's pages hold there (length, share in links, same on all pages or not) the path says whether the slot is main text. Extraction
-then takes the blocks at such slots from each whole page.
+tokens without a partner become optional. Every text slot of the wrapper has a path of containers; the path says whether the slot
+can be main text, and where it doesn't decide, what the host's distinct pages hold there does: texts that most of them share and slots
+that are mostly links are dropped. Extraction then takes the blocks at such slots from each whole page.
 
 All pages take part in a wrapper. Streams are aligned in levels of about FAN_IN at once, dealt by a hash, so a large
 host is not one task, and what is kept of a host is its distinct streams and paths.
@@ -13,11 +13,12 @@ host is not one task, and what is kept of a host is its distinct streams and pat
 from __future__ import annotations
 
 import difflib
+import functools
+import hashlib
 import html
 import json
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ from .common import checkpoint, lower_ascii, small_side
 
 #: Longest run that is folded into a repeated group; wrappers that a task aligns at once, about; bound of a broadcast.
 LONGEST_RUN, FAN_IN, BROADCAST_BYTES = 8, 64, 32 << 20
+#: Distinct pages on which a text has to stand to count as the same on most.
+LEAST_PAGES = 3
 
 # fixed values: elements of the HTML standard by kind
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -236,6 +239,7 @@ def _split(path: str) -> tuple[list[list[str]], list[list[str]]]:
     return names[:at], names[at:]
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def is_boilerplate(path: str) -> bool:
     """By element anywhere; by name only from an article or main on, as the containers of these are named for the layout."""
     holders, rest = _split(path)
@@ -245,11 +249,13 @@ def is_boilerplate(path: str) -> bool:
     return any(w in NOT_MAIN_NAMES or any(x in NOT_MAIN_WORDS for x in _words(w)) and not STATES.intersection(_words(w)) for tag, *of in rest if tag not in ("article", "main", "body", "html") for w in of)
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def is_ambiguous(path: str) -> bool:
     """Named like boilerplate by a word that is also used for text."""
     return any(w in AMBIGUOUS_NAMES for tag, *of in _split(path)[1] if tag not in ("article", "main", "body", "html") for w in of)
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _rank(path: str) -> int:
     """0 inside article, 1 inside main, 2 inside one of these in a container named like boilerplate, 3 inside a container named like main text, 4 elsewhere."""
     holders, rest = _split(path)
@@ -264,13 +270,23 @@ def _rank(path: str) -> int:
     return 3 if any(x in MAIN_WORDS for n in rest for w in n[1:] for x in _words(w)) else 4
 
 
-def main_paths(wrapper: list, facts: dict[str, tuple[int, int, bool]]) -> dict[str, int]:
-    """Paths that may hold main text, with their ranks: outside boilerplate; without an article or main, or with an ambiguous name, slots that are mostly links or, on three pages or more, the same everywhere are left out.
+def main_paths(wrapper: list) -> dict[str, int]:
+    """Paths of a wrapper that may hold main text, outside boilerplate, with their ranks."""
+    return {p: _rank(p) for p in slot_paths(wrapper) if not is_boilerplate(p)}
 
-    facts: characters, characters in links and sameness on three pages or more of each path.
-    """
-    ranks = {p: _rank(p) for p in slot_paths(wrapper) if not is_boilerplate(p)}
-    return {p: r for p, r in ranks.items() if r < 3 and not is_ambiguous(p) or p in facts and 2 * facts[p][1] <= facts[p][0] and not facts[p][2]}
+
+def _judged(path: str) -> bool:
+    """Whether what the host's pages hold there decides: without an article or main, or with an ambiguous name."""
+    return _rank(path) > 2 or is_ambiguous(path)
+
+
+def _digest(*of: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(of).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _kind(paths: Iterable[str]) -> str:
+    """m for pages that have an article or main, else o; each kind is judged by itself."""
+    return "o" if all(map(_judged, paths)) else "m"
 
 
 def host(url: Column) -> Column:
@@ -278,29 +294,41 @@ def host(url: Column) -> Column:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, html) to a row for each host: wrapper (JSON), paths of main text and their ranks."""
+    """(host, html) to a row for each host: wrapper (JSON), paths that may hold main text, their ranks, and what is dropped where the path doesn't decide.
+
+    dropped has digests of texts that stand at a slot on LEAST_PAGES distinct pages or more and on most of those of the host
+    that have (or lack) an article or main, and of slots whose other texts are mostly links.
+    """
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for name, page in zip(batch.host, batch.html, strict=True):
-                tokens, slots = [], {}
+                tokens, blocks = [], []
                 for path, text, links in blocks_of(page or ""):
-                    if path:
-                        tokens.append("#" + path)
-                        n, k, texts = slots.get(path, (0, 0, []))
-                        slots[path] = (n + len(text), k + links, [*texts, text] if len(texts) < 8 else texts)
-                    else:
-                        tokens.append(text)
-                rows.append((name, json.dumps([[n, False] for n in fold(tokens)]), [{"path": p, "n": n, "links": k, "same": hash_of(t)} for p, (n, k, t) in slots.items()]))
-            yield pd.DataFrame(rows, columns=["host", "stream", "slots"])
-
-    def hash_of(texts: list[str]) -> int:
-        return zlib.crc32("\n".join(texts).encode("utf-8", "surrogatepass"))
-
-    found = checkpoint(pages.mapInPandas(facts, "host string, stream string, slots array<struct<path:string,n:bigint,links:bigint,same:bigint>>"))
-    slots = found.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path")
-    slots = slots.agg(F.sum("s.n").alias("n"), F.sum("s.links").alias("links"), ((F.min("s.same") == F.max("s.same")) & (F.count("*") >= 3)).alias("same"))
+                    tokens.append("#" + path if path else text)
+                    if path and not is_boilerplate(path):
+                        blocks.append((path, text, links))
+                kind = _kind(path for path, _, _ in blocks)
+                slots: dict[tuple[int, int], tuple[int, int]] = {}
+                for path, text, links in blocks:
+                    if _judged(path) and (kind == "o" or _rank(path) < 3):
+                        key = _digest(kind, path), _digest(kind, path, text)
+                        n, k = slots.get(key, (0, 0))
+                        slots[key] = n + len(text), k + links
+                content = _digest(*(x for path, text, _ in blocks for x in (path, text)))
+                rows.append((name, json.dumps([[n, False] for n in fold(tokens)]), kind, content, [{"slot": s, "text": t, "n": n, "links": k} for (s, t), (n, k) in slots.items()]))
+            yield pd.DataFrame(rows, columns=["host", "stream", "kind", "content", "slots"])
+
+    found = checkpoint(pages.mapInPandas(facts, "host string, stream string, kind string, content bigint, slots array<struct<slot:bigint,text:bigint,n:bigint,links:bigint>>"))
+    # copies, and pages that differ only in boilerplate, count once
+    distinct = checkpoint(found.drop("stream").dropDuplicates(["host", "kind", "content"]))
+    sizes = small_side(distinct.groupBy("host", "kind").agg(F.count("*").alias("pages")))
+    texts = distinct.select("host", "kind", F.explode("slots").alias("s")).groupBy("host", "kind", "s.slot", "s.text").agg(F.count("*").alias("found"), F.sum("s.n").alias("n"), F.sum("s.links").alias("links"))
+    again = (F.col("found") >= LEAST_PAGES) & (2 * F.col("found") > F.col("pages"))
+    slots = texts.join(sizes, ["host", "kind"]).withColumn("again", again).groupBy("host", "slot")
+    slots = slots.agg(F.collect_list(F.when(F.col("again"), F.col("text"))).alias("dropped"), *[F.coalesce(F.sum(F.when(~F.col("again"), F.col(c))), F.lit(0)).alias(c) for c in ("n", "links")])
+    slots = slots.select("host", F.when(2 * F.col("links") > F.col("n"), F.array("slot")).otherwise(F.col("dropped")).alias("dropped"))
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         wrapper = None
@@ -310,9 +338,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
     def choose(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         wrapper = json.loads(rows.wrapper.iloc[0]) if len(rows) else []
-        facts_ = {p: (n, k, s) for p, n, k, s in zip(known.path, known.n, known.links, known.same, strict=True)}
-        chosen = main_paths(wrapper, facts_)
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)], "paths": [list(chosen)], "ranks": [list(chosen.values())]})
+        chosen = main_paths(wrapper)
+        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)], "paths": [list(chosen)], "ranks": [list(chosen.values())], "dropped": [[int(x) for d in known.dropped for x in d]]})
 
     parts = found.select("host", F.col("stream").alias("wrapper")).distinct()
     while True:
@@ -321,7 +348,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         parts = checkpoint(dealt.groupBy("host", "part").applyInPandas(merge, "host string, wrapper string"))
         if sizes.where("groups > 1").isEmpty():
             break
-    return parts.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(choose, "host string, wrapper string, paths array<string>, ranks array<int>")
+    return parts.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(choose, "host string, wrapper string, paths array<string>, ranks array<int>, dropped array<bigint>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -333,21 +360,24 @@ def extract(pages: DataFrame) -> DataFrame:
     Repeated rows each get their row; no rows give no rows.
     """
     own = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    wrappers = checkpoint(infer_wrappers(own.select("host", "html"))).select("host", "paths", "ranks")
-    size = wrappers.agg(F.coalesce(F.sum(F.length("host") + 64 + F.length(F.array_join("paths", ",")) * 2), F.lit(0))).first()[0]
+    wrappers = checkpoint(infer_wrappers(own.select("host", "html"))).select("host", "paths", "ranks", "dropped")
+    size = wrappers.agg(F.coalesce(F.sum(F.length("host") + 64 + F.length(F.array_join("paths", ",")) * 2 + 8 * F.size("dropped")), F.lit(0))).first()[0]
     joined = own.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
 
-    def main_text(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def main_text(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in parts:
             out = []
-            for page, paths, ranks in zip(*columns, strict=True):
+            for page, paths, ranks, dropped in zip(*columns, strict=True):
                 rank_of = dict(zip(paths, ranks, strict=True)) if paths is not None else {}
-                found = [(rank_of[path], text) for path, text, _ in blocks_of(page or "") if path in rank_of]
-                best = min((r for r, _ in found), default=0)
-                out.append("\n".join(text for r, text in found if r == best))
+                found = [(path, text) for path, text, _ in blocks_of(page or "") if path in rank_of]
+                if dropped is not None and len(dropped):
+                    kind, gone = _kind(path for path, _ in found), set(dropped)
+                    found = [(p, t) for p, t in found if not _judged(p) or _digest(kind, p) not in gone and _digest(kind, p, t) not in gone]
+                best = min((rank_of[p] for p, _ in found), default=0)
+                out.append("\n".join(text for p, text in found if rank_of[p] == best))
             yield pd.Series(out, dtype=object)
 
-    shown = joined.select("page_id", "url", F.pandas_udf(main_text, T.StringType())("html", "paths", "ranks").alias("text"))
+    shown = joined.select("page_id", "url", F.pandas_udf(main_text, T.StringType())("html", "paths", "ranks", "dropped").alias("text"))
     return shown.withColumn("n_chars", F.length("text").cast("bigint"))
 
 

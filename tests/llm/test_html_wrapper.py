@@ -107,3 +107,13 @@ def test_elements_that_hold_text():
     assert shown("<p>a <svg><title>icon</title><desc>d</desc><style/><script/><text>t</text></svg> b</p>") == ["a t b"]
     assert shown("<p>a</p><script>x</p><p>no</script ><style>y</style><my-script>b</my-script><script-x>c</script-x><iframe>no</iframe>") == ["a", "bc"]
     assert shown("<p>a</p><script>never ends <p>no</p>") == ["a"]
+
+
+def test_notices_and_copies(spark):
+    """Texts that most distinct pages share go one by one; copies of one page count once."""
+    notices = "".join(f"<p>notice {k}</p>" for k in range(10))
+    pages = [(f"http://k/{i}", f"<body>{notices}<p>body {i}</p><p>more {i}</p></body>") for i in range(5)]
+    copies = [(f"http://l/{i}", "<body><p>copied</p></body>") for i in range(6)] + [(f"http://l/n{i}", f"<body><script>{i}</script><p>copied</p></body>") for i in range(6)]
+    menu = [(f"http://m/{i}", f"<body>{'<p><a href=/>a long entry of the menu</a></p>' * 5}<p>text {i}</p></body>") for i in range(4)]
+    got = texts(spark, pages + copies + menu)
+    assert got == [f"body {i}\nmore {i}" for i in range(5)] + ["copied"] * 12 + [f"text {i}" for i in range(4)]
