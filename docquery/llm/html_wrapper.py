@@ -1,4 +1,6 @@
-"""HTML extraction by wrappers: union-free regular expressions over the token streams of a host's pages.
+"""HTML extraction by paths of containers and what a host's pages hold there; wrappers list the paths.
+
+A wrapper is a union-free regular expression over the token streams of a host's pages. Its groups decide no row.
 
 Each page becomes a stream of block tags and text slots in which repeated runs are folded into repeated groups
 ``(+ ...)``. Equal streams of a host are counted once; the distinct ones are aligned one after another, and
