@@ -39,6 +39,30 @@ def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+#: A key is hot if it has over a HOT_SHARE-th of the rows, and more than HOT_ROWS.
+HOT_SHARE, HOT_ROWS = 1000, 256
+
+
+def hot_keys(rows: DataFrame, keys: str | list[str], counts: str | None = None) -> DataFrame:
+    """(keys, tasks): keys with over 1 / HOT_SHARE of the rows, so fewer than HOT_SHARE of them, and how many tasks they are dealt to.
+
+    ``rows`` should be checkpointed; ``counts`` names a column with the number of rows where each key has one row.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    sizes = rows.groupBy(*keys).agg(F.sum(counts).alias("n") if counts else F.count("*").alias("n"))
+    total = rows.agg(F.coalesce(F.sum(counts), F.lit(0))).first()[0] if counts else rows.count()
+    most = max(total // HOT_SHARE, HOT_ROWS)
+    return F.broadcast(sizes.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).alias("tasks")))
+
+
+def join_spread(rows: DataFrame, table: DataFrame, keys: str | list[str], by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a key by a shuffle. Rows of a hot key are dealt to several tasks by a hash of ``by``, its row of the table is repeated."""
+    keys = [keys] if isinstance(keys, str) else keys
+    dealt = rows.join(hot, keys, "left").withColumn("task", F.coalesce(F.pmod(F.xxhash64(by), "tasks"), F.lit(0))).drop("tasks")
+    repeated = table.join(hot, keys, "left").withColumn("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
+    return dealt.join(repeated, [*keys, "task"], how).drop("task")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
