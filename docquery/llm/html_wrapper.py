@@ -1,15 +1,18 @@
-"""HTML extraction by paths of containers and what a host's pages hold there; wrappers list the paths.
-
-A wrapper is a union-free regular expression over the token streams of a host's pages. Its groups decide no row.
-
-Each page becomes a stream of block tags and text slots in which repeated runs are folded into repeated groups
-``(+ ...)``. Equal streams of a host are counted once; the distinct ones are aligned one after another, and
-tokens without a partner become optional. Every text slot of the wrapper has a path of containers; the path says whether the slot
-can be main text, and where it doesn't decide, what the host's distinct pages hold there does: texts that most of them share and slots
-that are mostly links are dropped. Extraction then takes the blocks at such slots from each whole page.
-
-All pages take part in a wrapper. Streams are aligned in levels of about FAN_IN at once, dealt by a hash, so a large
-host is not one task, and what is kept of a host is its distinct streams and paths.
+"""HTML extraction by wrappers: union-free regular expressions inferred from the pages of a host.
+
+1. Each page becomes a tree of block elements and texts. Texts that most of a host's distinct pages share are constants of the
+   template, all others are text slots.
+2. Runs that repeat at once become repeated groups, of any length. The distinct trees of a host are aligned one after another: what
+   has a partner is merged, what has none becomes optional, a run that is a repeated group on the other side is folded into it. So a
+   wrapper is a tree of constants, text slots, optional and repeated parts, and a slot is a place in it.
+3. Each page is aligned with its host's wrapper, which gives each of its texts a slot; lengths and links are summed up by slot.
+4. A page's main text is that of its ``article``, else its ``main``. A page that has neither is followed down its host's wrapper
+   from the root to the part that holds at least half of the text, as long as that is one element with elements in it: repeated
+   groups and runs of unlike blocks end the way. Constants, slots that are mostly links and parts named as menus, comments,
+   adverts and the like are left out; a name like ``content`` only settles which of two parts comes first.
+
+All pages take part. Trees are aligned in levels of about FAN_IN at once, dealt by a hash, so a large host is not one task, and what is
+kept of a host is its distinct trees.
 """
 
 from __future__ import annotations
@@ -23,16 +26,19 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, lower_ascii, small_side
+from .common import checkpoint, hot_keys, join_spread, lower_ascii, small_side
 
-#: Longest run that is folded into a repeated group; wrappers that a task aligns at once, about; bound of a broadcast.
-LONGEST_RUN, FAN_IN, BROADCAST_BYTES = 8, 64, 32 << 20
-#: Distinct pages on which a text has to stand to count as the same on most.
+#: Wrappers that a task aligns at once, about; bound of a broadcast.
+FAN_IN, BROADCAST_BYTES = 64, 32 << 20
+#: Distinct pages on which a text has to stand to be a constant.
 LEAST_PAGES = 3
+#: Elements below this depth are put beside each other in trees; their texts stay as they are.
+DEEPEST = 48
 
 # fixed values: elements of the HTML standard by kind
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -172,62 +178,190 @@ def blocks_of(page: str) -> Iterator[tuple[str, str, int]]:
     yield from flush()
 
 
-def fold(tokens: list) -> list:
-    """Runs that repeat at once become one repeated group ["+", run]."""
+# Trees: an item is [name, children, optional, repeated, blocks]; blocks are the numbers of a page's blocks at a text slot.
+# Names: of an element, SLOT, CONSTANT with a digest, or GROUP for a repeated run of items.
+SLOT, CONSTANT, GROUP = "#", "=", "()"
+
+
+def tree_of(tokens: list[str], constants: Iterable[bool]) -> list:
+    """The folded items of a page: tokens are "<name", "</name" and, for a text, SLOT with its digest."""
     out: list = []
+    stack, deeper, block = [out], 0, 0
+    constants = iter(constants)
     for token in tokens:
-        out.append(token)
-        shorter = True
-        while shorter:
-            shorter = False
-            for n in range(1, min(LONGEST_RUN, len(out)) + 1):
-                run = out[-n:]
-                if len(out) > n and out[-n - 1] == ["+", run] or n == 1 and len(out) > 1 and out[-1] == out[-2] and isinstance(out[-1], list):
-                    del out[-n:]
-                    shorter = True
-                elif len(out) >= 2 * n and out[-2 * n : -n] == run:
-                    out[-2 * n :] = [["+", run]]
-                    shorter = True
-                if shorter:
-                    break
+        if token[0] == "<" and token[1] != "/":
+            if len(stack) > DEEPEST:
+                deeper += 1
+                continue
+            item = [token[1:], [], False, False, []]
+            stack[-1].append(item)
+            stack.append(item[1])
+        elif token[0] == "<":
+            if deeper:
+                deeper -= 1
+                continue
+            if len(stack) > 1:
+                stack.pop()
+                stack[-1][-1][1] = fold(stack[-1][-1][1])
+        else:
+            stack[-1].append([CONSTANT + token[1:], [], False, False, []] if next(constants) else [SLOT, [], False, False, [block]])
+            block += 1
+    while len(stack) > 1:
+        stack.pop()
+        stack[-1][-1][1] = fold(stack[-1][-1][1])
+    return fold(out)
+
+
+def kind_of(item: list) -> str:
+    """What has to agree for two items to be partners: the name, and the constants of a part that holds nothing else."""
+    name, children = item[0], item[1]
+    if name == GROUP:
+        return GROUP + " ".join(map(kind_of, children))
+    inner = [kind_of(c) for c in children]
+    return name + "[" + " ".join(inner) + "]" if inner and all(CONSTANT in k for k in inner) else name
+
+
+def merge(a: list, b: list) -> list:
+    return [a[0], align(a[1], b[1]) if a[1] or b[1] else [], a[2] or b[2], a[3] or b[3], a[4] + b[4]]
+
+
+def _repeated(a: list, b: list) -> list:
+    out = merge(a, b)
+    out[3] = True
     return out
 
 
-def align(wrapper: list, other: list) -> list:
-    """One wrapper for two; a wrapper is a list of [node, optional]. Nodes without a partner become optional; a run that
-    is a repeated group on the other side is folded into it."""
-    for mine, theirs in ((wrapper, other), (other, wrapper)):
-        for node, _ in list(theirs):
-            if isinstance(node, list):
-                run, i = node[1], 0
-                while i + len(run) <= len(mine):
-                    if [n for n, _ in mine[i : i + len(run)]] == run:
-                        mine[i : i + len(run)] = [[node, any(o for _, o in mine[i : i + len(run)])]]
-                    i += 1
-    a, b = [json.dumps(n) for n, _ in wrapper], [json.dumps(n) for n, _ in other]
+def fold(items: list) -> list:
+    """Runs that repeat at once become one repeated item or, if longer than one, one repeated GROUP."""
     out: list = []
-    for kind, i, k, j, l in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += [[wrapper[x][0], wrapper[x][1] or other[y][1]] for x, y in zip(range(i, k), range(j, l), strict=True)]
-        else:
-            out += [[node, True] for node, _ in wrapper[i:k]] + [[node, True] for node, _ in other[j:l]]
+    kinds: list[str] = []
+    for item in _neighbours(items):
+        out.append(item)
+        kinds.append(kind_of(item))
+        while size := next((n for n in range(1, len(out)) if _ends_in_run(kinds, n)), 0):
+            if size == 1 and kinds[-1] == kinds[-2]:
+                new = _repeated(out[-2], out[-1])
+                kept = 2
+            else:
+                run = [GROUP, out[-size:], False, True, []]
+                more = kinds[-size - 1] == kind_of(run)  # one more of the group before
+                new = _repeated(out[-size - 1] if more else [GROUP, out[-2 * size : -size], False, True, []], run)
+                kept = size + 1 if more else 2 * size
+            del out[-kept:], kinds[-kept:]
+            out.append(new)
+            kinds.append(kind_of(new))
+    return out
+
+
+def _neighbours(items: list) -> list:
+    """Like neighbours as one repeated item."""
+    out: list = []
+    for item in items:
+        if out and kind_of(out[-1]) == kind_of(item):
+            item = _repeated(out.pop(), item)
+        out.append(item)
     return out
 
 
-def slot_paths(wrapper: list) -> list[str]:
-    """Paths of the text slots of a wrapper; a slot token carries its path."""
-    found: dict[str, None] = {}
+def _ends_in_run(kinds: list[str], n: int) -> bool:
+    """Whether the last n items repeat the n before them, or the group before them."""
+    if len(kinds) >= 2 * n and kinds[-1] == kinds[-n - 1] and kinds[-n:] == kinds[-2 * n : -n]:
+        return True
+    return kinds[-n - 1].startswith(GROUP) and kinds[-n - 1] == GROUP + " ".join(kinds[-n:])
+
+
+def _grouped(items: list, others: list) -> list:
+    """items with runs made groups that are groups in others."""
+    for size, kind in {(len(o[1]), kind_of(o)) for o in others if o[0] == GROUP}:
+        i, kinds = 0, [kind_of(x) for x in items]
+        while i + size <= len(items):
+            if GROUP + " ".join(kinds[i : i + size]) == kind:
+                items = [*items[:i], [GROUP, items[i : i + size], all(x[2] for x in items[i : i + size]), True, []], *items[i + size :]]
+                kinds[i : i + size] = [kind]
+            i += 1
+    return items
+
+
+def partners(a: list, b: list) -> Iterator[tuple[list | None, list | None]]:
+    """The items of two sequences in order, with their partners."""
+    a, b = _grouped(a, b), _grouped(b, a)
+    for kind, i, k, j, l in difflib.SequenceMatcher(None, [kind_of(x) for x in a], [kind_of(x) for x in b], autojunk=False).get_opcodes():
+        if kind == "equal":
+            yield from zip(a[i:k], b[j:l], strict=True)
+        else:
+            yield from ((x, None) for x in a[i:k])
+            yield from ((None, y) for y in b[j:l])
 
-    def walk(node) -> None:
-        if isinstance(node, list):
-            for n in node[1]:
-                walk(n)
-        elif node[0] == "#":
-            found[node[1:]] = None
 
-    for node, _ in wrapper:
-        walk(node)
-    return list(found)
+def align(a: list, b: list) -> list:
+    """One sequence for two. Items without a partner become optional; like neighbours become one repeated item."""
+    out: list = []
+    for x, y in partners(a, b):
+        out.append(merge(x, y) if x and y else [*(x or y)[:2], True, *(x or y)[3:]])
+    return _neighbours(out)
+
+
+def plain(items: list) -> list:
+    """A wrapper's items: a page's without its blocks."""
+    return [[name, plain(children), optional, repeated, []] for name, children, optional, repeated, _ in items]
+
+
+class Wrapper:
+    """A host's wrapper; slots are numbered in order."""
+
+    def __init__(self, items: list):
+        self.items = items
+        self.slots: dict[int, int] = {}  # of each text slot by identity
+        self.way: list[tuple[int, ...]] = []  # the parts, by identity, that a slot lies in
+
+        def walk(items: list, way: tuple[int, ...]) -> None:
+            for item in items:
+                if item[0] == SLOT:
+                    self.slots[id(item)] = len(self.way)
+                    self.way.append(way)
+                walk(item[1], (*way, id(item)))
+
+        walk(items, ())
+
+    def match(self, page: list, blocks: int) -> list[int]:
+        """The slot of each of a page's blocks; -1 for a constant, -2 for a text without a place in the wrapper."""
+        found = [-1] * blocks
+
+        def lost(items: list) -> None:
+            for item in items:
+                for b in item[4]:
+                    found[b] = -2
+                lost(item[1])
+
+        def walk(mine: list, wrapper: list) -> None:
+            for x, y in partners(mine, wrapper):
+                if x and y:
+                    for b in x[4]:
+                        found[b] = self.slots.get(id(y), -2)
+                    walk(x[1], y[1])
+                elif x:
+                    lost([x])
+
+        walk(page, self.items)
+        return found
+
+    def region(self, size: dict[int, int], liked: Iterable[int]) -> set[int]:
+        """The slots of the part that a page's main text is in: from the root on, the one element that holds half of it or more.
+
+        ``size`` has the host's characters at each slot of the page that may be main text; ``liked`` are slots
+        in parts named like main text, which come first where two parts hold half each.
+        """
+        liked, items, now = set(liked), self.items, set(size)
+        while True:
+            total = sum(size[s] for s in now)
+            best, below = None, set()
+            for item in items:
+                inside = {s for s in now if id(item) in self.way[s]}
+                if not item[3] and any(c[0] != SLOT and c[0][0] != CONSTANT for c in item[1]) and 2 * sum(size[s] for s in inside) >= total and inside and (best is None or inside <= liked):
+                    best, below = item, inside
+            if best is None:
+                return now
+            items, now = best[1], below
 
 
 def _words(name: str) -> list[str]:
@@ -272,11 +406,6 @@ def _rank(path: str) -> int:
     return 3 if any(x in MAIN_WORDS for n in rest for w in n[1:] for x in _words(w)) else 4
 
 
-def main_paths(wrapper: list) -> dict[str, int]:
-    """Paths of a wrapper that may hold main text, outside boilerplate, with their ranks."""
-    return {p: _rank(p) for p in slot_paths(wrapper) if not is_boilerplate(p)}
-
-
 def _judged(path: str) -> bool:
     """Whether what the host's pages hold there decides: without an article or main, or with an ambiguous name."""
     return _rank(path) > 2 or is_ambiguous(path)
@@ -295,91 +424,165 @@ def host(url: Column) -> Column:
     return lower_ascii(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, html) to a row for each host: wrapper (JSON), paths that may hold main text, their ranks, and what is dropped where the path doesn't decide.
+@functools.lru_cache(maxsize=256)
+def _wrapper(text: str) -> Wrapper:
+    return Wrapper(json.loads(text))
+
+
+def _paths(tokens: Iterable[str]) -> list[str]:
+    """The path of each text."""
+    stack: list[str] = []
+    out = []
+    for token in tokens:
+        if token[0] == SLOT:
+            out.append("/".join(stack) or "#")
+        elif token[1] == "/":
+            if stack:
+                stack.pop()
+        else:
+            stack.append(token[1:])
+    return out
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, html) to (page_id, url, host, kind, content, tokens, texts, links, judged).
 
-    dropped has digests of texts that stand at a slot on LEAST_PAGES distinct pages or more and on most of those of the host
-    that have (or lack) an article or main, and of slots whose other texts are mostly links.
+    tokens is a JSON list for tree_of; content a digest of what isn't boilerplate; judged has, for each text for which constants count, its digest, else null.
     """
 
-    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for name, page in zip(batch.host, batch.html, strict=True):
-                tokens, blocks = [], []
-                for path, text, links in blocks_of(page or ""):
-                    tokens.append("#" + path if path else text)
-                    if path and not is_boilerplate(path):
-                        blocks.append((path, text, links))
-                kind = _kind(path for path, _, _ in blocks)
-                slots: dict[tuple[int, int], tuple[int, int]] = {}
-                for path, text, links in blocks:
-                    if _judged(path) and (kind == "o" or _rank(path) < 3):
-                        key = _digest(kind, path), _digest(kind, path, text)
-                        n, k = slots.get(key, (0, 0))
-                        slots[key] = n + len(text), k + links
-                content = _digest(*(x for path, text, _ in blocks for x in (path, text)))
-                rows.append((name, json.dumps([[n, False] for n in fold(tokens)]), kind, content, [{"slot": s, "text": t, "n": n, "links": k} for (s, t), (n, k) in slots.items()]))
-            yield pd.DataFrame(rows, columns=["host", "stream", "kind", "content", "slots"])
-
-    found = checkpoint(pages.mapInPandas(facts, "host string, stream string, kind string, content bigint, slots array<struct<slot:bigint,text:bigint,n:bigint,links:bigint>>"))
+            rows: dict[str, list] = {n: [] for n in ("kind", "content", "tokens", "texts", "links", "judged")}
+            for page in batch.column("html"):
+                tokens, texts, links, paths, judged, content = [], [], [], [], [], []
+                for path, text, linked in blocks_of(page.as_py() or ""):
+                    if not path:
+                        tokens.append(text)
+                        continue
+                    tokens.append(SLOT + str(_digest(text)))
+                    texts.append(text)
+                    links.append(linked)
+                    paths.append(path)
+                open_ = [not is_boilerplate(p) for p in paths]
+                kind = _kind(p for p, o in zip(paths, open_, strict=True) if o)
+                for path, text, o in zip(paths, texts, open_, strict=True):
+                    judged.append(_digest(text) if o and _judged(path) and (kind == "o" or _rank(path) < 3) else None)
+                    if o:
+                        content += [path, text]
+                for name, value in zip(rows, (kind, _digest(*content), json.dumps(tokens), texts, links, judged), strict=True):
+                    rows[name].append(value)
+            kinds = {"kind": pa.string(), "content": pa.int64(), "tokens": pa.string(), "texts": pa.list_(pa.string()), "links": pa.list_(pa.int32()), "judged": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("page_id", "url", "host")), *(pa.array(rows[n], t) for n, t in kinds.items())], names=["page_id", "url", "host", *kinds])
+
+    of = [T.StructField(n, pages.schema[n].dataType) for n in ("page_id", "url", "host")]
+    rest = T.StructType.fromDDL("kind string, content bigint, tokens string, texts array<string>, links array<int>, judged array<bigint>")
+    return pages.select("page_id", "url", "host", "html").mapInArrow(run, T.StructType([*of, *rest.fields]))
+
+
+def template_texts(parsed: DataFrame) -> DataFrame:
+    """(host, kind, constants): digests of texts that stand on LEAST_PAGES distinct pages or more and on most of the host's pages of that kind."""
     # copies, and pages that differ only in boilerplate, count once
-    distinct = checkpoint(found.drop("stream").dropDuplicates(["host", "kind", "content"]))
-    sizes = small_side(distinct.groupBy("host", "kind").agg(F.count("*").alias("pages")))
-    texts = distinct.select("host", "kind", F.explode("slots").alias("s")).groupBy("host", "kind", "s.slot", "s.text").agg(F.count("*").alias("found"), F.sum("s.n").alias("n"), F.sum("s.links").alias("links"))
-    again = (F.col("found") >= LEAST_PAGES) & (2 * F.col("found") > F.col("pages"))
-    slots = texts.join(sizes, ["host", "kind"]).withColumn("again", again).groupBy("host", "slot")
-    slots = slots.agg(F.collect_list(F.when(F.col("again"), F.col("text"))).alias("dropped"), *[F.coalesce(F.sum(F.when(~F.col("again"), F.col(c))), F.lit(0)).alias(c) for c in ("n", "links")])
-    slots = slots.select("host", F.when(2 * F.col("links") > F.col("n"), F.array("slot")).otherwise(F.col("dropped")).alias("dropped"))
-
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        wrapper = None
-        for part in rows.wrapper.sort_values():
-            wrapper = json.loads(part) if wrapper is None else align(wrapper, json.loads(part))
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)]})
-
-    def choose(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        wrapper = json.loads(rows.wrapper.iloc[0]) if len(rows) else []
-        chosen = main_paths(wrapper)
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)], "paths": [list(chosen)], "ranks": [list(chosen.values())], "dropped": [[int(x) for d in known.dropped for x in d]]})
-
-    parts = found.select("host", F.col("stream").alias("wrapper")).distinct()
+    distinct = parsed.select("host", "kind", "content", "judged").dropDuplicates(["host", "kind", "content"])
+    sizes = distinct.groupBy("host", "kind").agg(F.count("*").alias("pages"))
+    texts = distinct.select("host", "kind", F.explode(F.array_distinct("judged")).alias("text")).where("text is not null").groupBy("host", "kind", "text").agg(F.count("*").alias("found")).where(F.col("found") >= LEAST_PAGES)
+    often = texts.join(sizes, ["host", "kind"]).where(2 * F.col("found") > F.col("pages"))
+    return often.groupBy("host", "kind").agg(F.collect_list("text").alias("constants"))
+
+
+def _by_host(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what table has for their host, if any: broadcast while that is small, else by a shuffle that deals large hosts to several tasks."""
+    table = checkpoint(table)
+    value = [c for c in table.columns if c not in keys][0]
+    size = table.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct(*table.columns)))), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(table), keys, "left") if size <= BROADCAST_BYTES else join_spread(rows, table.select(*keys, value), keys, "content", hot_keys(rows, keys), "left")
+
+
+def _tree(tokens: str, judged, constants) -> list:
+    known = set(constants) if constants is not None else ()
+    return tree_of(json.loads(tokens), (j is not None and j in known for j in judged))
+
+
+def infer_wrappers(marked: DataFrame) -> DataFrame:
+    """(host, tokens, judged, constants) to (host, wrapper): the aligned trees of the host's pages, as JSON."""
+
+    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = {(h, json.dumps(plain(_tree(t, j, c)))) for h, t, j, c in zip(batch.host, batch.tokens, batch.judged, batch.constants, strict=True)}
+            yield pd.DataFrame(sorted(found), columns=["host", "wrapper"])
+
+    def merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        items: list = []
+        for i, part in enumerate(rows.wrapper.sort_values()):
+            items = align(items, json.loads(part)) if i else json.loads(part)
+        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(items)]})
+
+    as_lists = marked.select("host", "tokens", F.to_json("judged").alias("judged"), F.to_json("constants").alias("constants"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from trees(b.assign(judged=b.judged.map(json.loads), constants=b.constants.map(lambda c: json.loads(c) if c else None)) for b in batches)
+
+    parts = as_lists.mapInPandas(run, "host string, wrapper string").distinct()
     while True:
+        parts = checkpoint(parts)
         sizes = small_side(parts.groupBy("host").agg(F.ceil(F.count("*") / FAN_IN).alias("groups")))
         dealt = parts.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("wrapper"), F.col("groups")))
-        parts = checkpoint(dealt.groupBy("host", "part").applyInPandas(merge, "host string, wrapper string"))
+        parts = dealt.groupBy("host", "part").applyInPandas(merged, "host string, wrapper string")
         if sizes.where("groups > 1").isEmpty():
-            break
-    return parts.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(choose, "host string, wrapper string, paths array<string>, ranks array<int>, dropped array<bigint>")
+            return parts
+
+
+def slots_of(tokens: str, judged: str, constants: str | None, wrapper: str | None) -> list[int]:
+    """The slot of each text of a page."""
+    marks = json.loads(judged)
+    return _wrapper(wrapper or "[]").match(_tree(tokens, marks, json.loads(constants) if constants else None), len(marks))
+
+
+def main_blocks(tokens: str, slots: list[int], links: list[int], wrapper: str, facts: dict[int, tuple[int, int]]) -> list[bool]:
+    """Which texts of a page are main text. facts: characters and characters in links at each slot of the host."""
+    paths = _paths(json.loads(tokens))
+    open_ = []
+    for path, slot in zip(paths, slots, strict=True):
+        size, linked = facts.get(slot, (0, 0))
+        open_.append(slot != -1 and not is_boilerplate(path) and not (_judged(path) and 2 * linked > size))
+    best = min((_rank(p) for p, o in zip(paths, open_, strict=True) if o), default=4)
+    if best < 3:
+        return [o and _rank(p) == best for p, o in zip(paths, open_, strict=True)]
+    size = {s: facts[s][0] - facts[s][1] for s, o in zip(slots, open_, strict=True) if o and s in facts}
+    chosen = _wrapper(wrapper).region(size, {s for s, p in zip(slots, paths, strict=True) if _rank(p) == 3})
+    return [o and (s in chosen or s not in facts) for s, o in zip(slots, open_, strict=True)]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html; others are ignored).
 
     Blocks have their references decoded, white space turned into single spaces and their ends trimmed, and are joined in
-    page order by a newline. Each page takes the best rank that has text on it, whatever the other pages of its host have.
+    page order by a newline. Texts without a place in the wrapper are kept unless their path says otherwise.
     Null and empty pages give an empty text. Null URLs and those without :// share the empty host.
-    Repeated rows each get their row; no rows give no rows.
+    Repeated rows each get their row and count once for constants; no rows give no rows.
     """
     own = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    wrappers = checkpoint(infer_wrappers(own.select("host", "html"))).select("host", "paths", "ranks", "dropped")
-    size = wrappers.agg(F.coalesce(F.sum(F.length("host") + 64 + F.length(F.array_join("paths", ",")) * 2 + 8 * F.size("dropped")), F.lit(0))).first()[0]
-    joined = own.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+    parsed = checkpoint(parse(own))
+    marked = _by_host(parsed, template_texts(parsed), ["host", "kind"])
+    matched = _by_host(marked, infer_wrappers(marked), ["host"])
 
-    def main_text(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def matches(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in parts:
-            out = []
-            for page, paths, ranks, dropped in zip(*columns, strict=True):
-                rank_of = dict(zip(paths, ranks, strict=True)) if paths is not None else {}
-                found = [(path, text) for path, text, _ in blocks_of(page or "") if path in rank_of]
-                if dropped is not None and len(dropped):
-                    kind, gone = _kind(path for path, _ in found), set(dropped)
-                    found = [(p, t) for p, t in found if not _judged(p) or _digest(kind, p) not in gone and _digest(kind, p, t) not in gone]
-                best = min((rank_of[p] for p, _ in found), default=0)
-                out.append("\n".join(text for p, text in found if rank_of[p] == best))
-            yield pd.Series(out, dtype=object)
-
-    shown = joined.select("page_id", "url", F.pandas_udf(main_text, T.StringType())("html", "paths", "ranks", "dropped").alias("text"))
+            yield pd.Series([slots_of(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+    slots = F.pandas_udf(matches, T.ArrayType(T.IntegerType()))("tokens", F.to_json("judged"), F.to_json("constants"), "wrapper")
+    matched = checkpoint(matched.select("page_id", "url", "host", "content", "tokens", "texts", "links", "wrapper", slots.alias("slots")))
+    each = matched.select("host", "content", "slots", "links", F.transform("texts", F.length).alias("sizes")).dropDuplicates(["host", "content"])
+    each = each.select("host", F.explode(F.arrays_zip("slots", "sizes", "links")).alias("b")).where("b.slots >= 0").groupBy("host", "b.slots").agg(F.sum("b.sizes").alias("n"), F.sum("b.links").alias("links"))
+    facts = each.groupBy("host").agg(F.to_json(F.collect_list(F.array(F.col("slots").cast("bigint"), "n", "links"))).alias("facts"))
+
+    def choices(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        read = functools.lru_cache(maxsize=256)(lambda text: {s: (n, k) for s, n, k in json.loads(text)})
+        for tokens, slots, links, wrapper, facts in parts:
+            yield pd.Series([main_blocks(t, list(s), list(k), w or "[]", read(f or "[]")) for t, s, k, w, f in zip(tokens, slots, links, wrapper, facts, strict=True)], dtype=object)
+
+    known = _by_host(matched, facts, ["host"])
+    kept = known.select("page_id", "url", "texts", F.pandas_udf(choices, T.ArrayType(T.BooleanType()))("tokens", "slots", "links", "wrapper", "facts").alias("keep"))
+    shown = kept.select("page_id", "url", F.array_join(F.filter("texts", lambda t, i: F.get("keep", i)), "\n").alias("text"))
     return shown.withColumn("n_chars", F.length("text").cast("bigint"))
 
 

@@ -38,11 +38,82 @@ def test_plain_divs(spark):
     assert all(f"body {i} and so on" in t for i, t in enumerate(got))
 
 
+def items(text):
+    """Items from names: x is an element without children."""
+    return [[c, [], False, False, []] for c in text]
+
+
+def shape(found):
+    """Names, with + for repeated and ? for optional."""
+    return " ".join(("(" + shape(children) + ")" if name == h.GROUP else name + (f"[{shape(children)}]" if children else "")) + "+" * repeated + "?" * optional for name, children, optional, repeated, _ in found)
+
+
 def test_fold_and_align():
-    assert h.fold(list("abababc")) == [["+", ["a", "b"]], "c"]
-    assert h.fold(["p", "#", "/p"] * 3 + ["x"]) == [["+", ["p", "#", "/p"]], "x"]
-    a, b = ([[n, False] for n in h.fold(list(s))] for s in ("xababy", "xabzy"))
-    assert h.align(a, b) == [["x", False], [["+", ["a", "b"]], False], ["z", True], ["y", False]]
+    assert shape(h.fold(items("abababc"))) == "(a b)+ c"
+    assert shape(h.fold(items("aaab"))) == "a+ b"
+    assert shape(h.fold(items("abbabbbc"))) == "(a b+)+ c"
+    assert shape(h.fold(items("abcdefghij" * 3 + "x"))) == "(a b c d e f g h i j)+ x"
+    assert shape(h.align(h.fold(items("xababy")), h.fold(items("xabzy")))) == "x (a b)+ z? y"
+    assert shape(h.align(items("ab"), items("b"))) == "a? b"
+    tokens = ["<div", "<p", "#1", "</p", "<p", "#2", "</p", "</div", "<p", "#3", "</p"]
+    assert shape(h.tree_of(tokens, [False] * 3)) == "div[p[#]+] p[#]"
+    assert shape(h.tree_of(tokens, [True, False, False])) == "div[p[=1] p[#]] p[#]"
+
+
+def test_match_is_by_place():
+    """Texts under one path are told apart by their place in the wrapper."""
+    page = lambda n: ["<p", "#0", "</p", "<h1", "#1", "</h1"] + ["<p", "#2", "</p"] * n
+    wrapper = h.Wrapper(h.align(h.plain(h.tree_of(page(2), [True] + [False] * 3)), h.plain(h.tree_of(["<p", "#9", "</p"] + page(3)[3:], [False] * 5))))
+    assert shape(wrapper.items) == "p[=0]? p[#]? h1[#] p[#]+"
+    assert wrapper.match(h.tree_of(page(3), [True] + [False] * 4), 5) == [-1, 1, 2, 2, 2]
+    assert wrapper.match(h.tree_of(["<p", "#5", "</p"] + page(1)[3:], [False] * 3), 3) == [0, 1, 2]
+    assert wrapper.match(h.tree_of(["<ul", "#5", "</ul"], [False]), 1) == [-2]
+
+
+def best_alignment(a, b):
+    """The most partners that two sequences can have, by trying all."""
+    if not a or not b:
+        return 0
+    return max(best_alignment(a[1:], b), best_alignment(a, b[1:]), (a[0] == b[0]) + best_alignment(a[1:], b[1:]) if a[0] == b[0] else 0)
+
+
+def test_alignment_takes_every_page_in():
+    """Each of the pages that a wrapper was made from matches it without a text left over; alignment isn't far from the best."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        pages = [[x for c in (rng.choice("abc") for _ in range(rng.randrange(1, 7))) for x in (f"<{c}", "#1", f"</{c}")] for _ in range(4)]
+        wrapper = []
+        for i, p in enumerate(pages):
+            tree = h.plain(h.tree_of(p, [False] * (len(p) // 3)))
+            wrapper = h.align(wrapper, tree) if i else tree
+        lost = sum(s == -2 for p in pages for s in h.Wrapper(wrapper).match(h.tree_of(p, [False] * (len(p) // 3)), len(p) // 3))
+        assert lost <= sum(len(p) // 3 for p in pages) // 4
+        a, b = (items([rng.choice("abcd") for _ in range(6)]) for _ in range(2))
+        a, b = ([x for i, x in enumerate(s) if not i or x[0] != s[i - 1][0]] for s in (a, b))
+        assert sum(bool(x and y) for x, y in h.partners(a, b)) >= best_alignment([x[0] for x in a], [x[0] for x in b]) - 2
+
+
+def test_the_wrapper_decides(spark):
+    """No element and no name says what is main text: the part with most of a host's text is, and constants at the same path aren't."""
+    def make(i, n):
+        paragraphs = "".join(f"<p>paragraph {i} {k} of the text that this page is about</p>" for k in range(n))
+        return f"<body><div class=a><div class=b><p>Today {i}</p></div><div class=c><p>Our house style</p><h2>head {i}</h2>{paragraphs}<p>Read on elsewhere</p></div><div class=d><p>tail {i}</p><p>more tail {i}</p></div></div></body>"
+
+    want = lambda i, n: "\n".join([f"head {i}", *(f"paragraph {i} {k} of the text that this page is about" for k in range(n))])
+    pages = [(f"http://n/{i}", make(i, 1 + i % 3)) for i in range(9)]
+    assert texts(spark, pages) == [want(i, 1 + i % 3) for i in range(9)]
+    # a page with less text there than elsewhere follows its host
+    short = "<body><div class=a><div class=b><p>Today is a long text that is longer than the text</p></div><div class=c><p>Our house style</p><h2>h</h2><p>short</p><p>Read on elsewhere</p></div></div></body>"
+    assert texts(spark, [*pages, ("http://n/s", short)])[-1] == "h\nshort"
+    # repeated rows change nothing
+    assert texts(spark, pages + pages[:1] * 20)[:9] == [want(i, 1 + i % 3) for i in range(9)]
+
+
+def test_deep_nesting(spark):
+    deep = "<div>" * 3000 + "<p>deep</p>"
+    assert texts(spark, [("http://o/1", f"<article>{deep}</article>"), ("http://o/2", f"<body>{deep}")]) == ["deep", "deep"]
 
 
 def test_copies_and_large_hosts(spark):
