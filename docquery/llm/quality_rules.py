@@ -1,11 +1,11 @@
 """Quality rules: fixed base rules, then robust multivariate outliers by minimum covariance determinant (MCD).
 
-Everything is SQL. One pass over the texts makes a small table of counts; the rest works on that table. For
-each language and source, concentration steps (the fast deterministic form of MCD) start from medians and
-median deviations, keep the share SHARE of documents with the least distance and estimate mean and covariance
-from them. Order statistics are exact: they are taken of values rounded to DIGITS decimals, so an aggregate
-holds a bounded number of distinct values whatever the number of rows. The covariance gets a floor on its
-diagonal, as most documents have no symbol and no repeated line at all.
+Everything is SQL. One pass over the texts makes a small table of counts; the rest works on that table. For each language and
+source, concentration steps go from several starts: each keeps the share SHARE of documents with the least distance and estimates
+mean and covariance from them, until no determinant changes any more. The estimate with the least
+determinant wins, and is made again from the documents that it finds usual (reweighting). Order statistics are exact: they are taken of values
+rounded to DIGITS decimals, so an aggregate holds a bounded number of distinct values whatever the number of rows. Covariances get
+a floor on their diagonal, as most documents have no symbol and no repeated line at all.
 """
 
 from __future__ import annotations
@@ -17,14 +17,17 @@ from .common import SPACE, checkpoint, let, small_side, words
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 DIGITS = 3
-#: Share of the documents of a group in each concentration step, number of steps, least size of a group.
-SHARE, STEPS, MIN_GROUP = 0.75, 3, 50
-#: Chi-square with 4 degrees of freedom: the quantile 0.99999 rejects; SHARE / P(chi-square with 6 degrees <= quantile of SHARE) corrects the covariance.
-CUTOFF, CONSISTENCY = 28.473, 1.4851
+#: Share of the documents of a group in each concentration step; steps after which a start that still changes counts as it is; least size of a group.
+SHARE, MOST_STEPS, MIN_GROUP = 0.75, 12, 50
+#: Chi-square with 4 degrees of freedom: the quantile 0.99999 rejects, documents up to 0.975 count in reweighting. The
+#: consistency factors are share / P(chi-square with 6 degrees <= quantile of the share), for SHARE and for 0.975.
+CUTOFF, CONSISTENCY, USUAL, USUAL_CONSISTENCY = 28.473, 1.4851, 11.143, 1.0645
 #: Least standard deviation of each statistic.
-FLOORS = {"x1": 0.15, "x2": 0.35, "x3": 1.0, "x4": 1.0}
+FLOORS = {"x1": 0.15, "x2": 0.35, "x3": 0.7, "x4": 0.7}
 X = list(FLOORS)
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
+#: Conditions of the starts after the first, which is of medians and median deviations; pick is the first hex digit of the id's MD5.
+STARTS = ["true", "pick < '4'", "pick >= '4' and pick < '8'", "pick >= '8' and pick < 'c'"]
 
 
 def repeated_words(w: Column) -> Column:
@@ -74,42 +77,81 @@ def _with_group(rows: DataFrame) -> DataFrame:
     return own
 
 
-def _distance(names: list[str]) -> Column:
-    """Squared Mahalanobis distance of the columns names from m1..m4 with the Cholesky factor l11..l44, by forward substitution."""
-    z: list[Column] = []
-    for i, name in enumerate(names):
-        rest = F.col(name) - F.col(f"m{i + 1}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i + 1}{j + 1}") * z[j]
-        z.append(rest / F.col(f"l{i + 1}{i + 1}"))
-    return sum((x * x for x in z[1:]), z[0] * z[0])
+# formulas as SQL text, which the statement of the registered query shares
 
 
-def _cholesky(params: DataFrame) -> DataFrame:
+def _distance(row: str = "", par: str = "") -> str:
+    """Squared Mahalanobis distance of x1..x4 from m1..m4 with the Cholesky factor l11..l44, by forward substitution."""
+    z: list[str] = []
+    for i in range(4):
+        rest = f"{row}x{i + 1} - {par}m{i + 1}" + "".join(f" - {par}l{i + 1}{j + 1} * {z[j]}" for j in range(i))
+        z.append(f"(({rest}) / {par}l{i + 1}{i + 1})")
+    return " + ".join(f"{x} * {x}" for x in z)
+
+
+def _factor() -> list[tuple[str, str]]:
+    """(name, formula) of the Cholesky factor of s11..s44, each of the ones before."""
+    out = []
     for i, j in sorted(PAIRS, key=lambda p: (p[1], p[0])):
-        rest = F.col(f"s{i + 1}{j + 1}")
-        for k in range(j):
-            rest = rest - F.col(f"l{i + 1}{k + 1}") * F.col(f"l{j + 1}{k + 1}")
-        params = params.withColumn(f"l{i + 1}{j + 1}", F.sqrt(rest) if i == j else rest / F.col(f"l{j + 1}{j + 1}"))
-    return params
-
-
-def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(grp, x1..x4) to a row for each group with location m1..m4 and the Cholesky factor l11..l44 of its scatter."""
-    centre = small_side(rows.groupBy("grp").agg(*[F.percentile(x, 0.5).alias(f"m{i + 1}") for i, x in enumerate(X)]))
-    spread = rows.join(centre, "grp").groupBy("grp", *[f"m{i + 1}" for i in range(4)]).agg(*[F.percentile(F.abs(F.col(x) - F.col(f"m{i + 1}")), 0.5).alias(f"d{i + 1}") for i, x in enumerate(X)])
-    params = small_side(spread.select("grp", *[f"m{i + 1}" for i in range(4)], *[(F.greatest(1.4826 * F.col(f"d{i + 1}"), F.lit(FLOORS[X[i]])) if i == j else F.lit(0.0)).alias(f"l{i + 1}{j + 1}") for i, j in PAIRS]))
-    base = params.select("grp", *[F.col(f"m{i + 1}").alias(f"b{i + 1}") for i in range(4)])
-    for _ in range(steps):
-        near = rows.join(params, "grp").withColumn("u", F.round(F.log1p(_distance(X)), DIGITS)).select("grp", "u", *X)
-        cut = small_side(near.groupBy("grp").agg(F.percentile("u", SHARE).alias("cut")).join(base, "grp"))
-        y = [F.col(x) - F.col(f"b{i + 1}") for i, x in enumerate(X)]
-        sums = near.join(cut, "grp").where("u <= cut").groupBy("grp", *[f"b{i + 1}" for i in range(4)])
-        sums = sums.agg(*[F.avg(y[i]).alias(f"a{i + 1}") for i in range(4)], *[F.avg(y[i] * y[j]).alias(f"p{i + 1}{j + 1}") for i, j in PAIRS])
-        mean = [(F.col(f"b{i + 1}") + F.col(f"a{i + 1}")).alias(f"m{i + 1}") for i in range(4)]
-        scatter = [(CONSISTENCY * (F.col(f"p{i + 1}{j + 1}") - F.col(f"a{i + 1}") * F.col(f"a{j + 1}")) + F.lit(FLOORS[X[i]] ** 2 if i == j else 0.0)).alias(f"s{i + 1}{j + 1}") for i, j in PAIRS]
-        params = small_side(_cholesky(sums.select("grp", *mean, *scatter)).select("grp", *[f"m{i + 1}" for i in range(4)], *[f"l{i + 1}{j + 1}" for i, j in PAIRS]))
-    return params
+        rest = f"s{i + 1}{j + 1}" + "".join(f" - l{i + 1}{x + 1} * l{j + 1}{x + 1}" for x in range(j))
+        out.append((f"l{i + 1}{j + 1}", f"sqrt({rest})" if i == j else f"({rest}) / l{j + 1}{j + 1}"))
+    return out
+
+
+def _moments(condition: str) -> list[tuple[str, str]]:
+    """(name, aggregate) of means and products of x1..x4 around b1..b4 where the condition holds."""
+    y = [f"case when {condition} then x{i} - b{i} end" for i in range(1, 5)]
+    return [(f"a{i + 1}", f"avg({y[i]})") for i in range(4)] + [(f"p{i + 1}{j + 1}", f"avg(({y[i]}) * ({y[j]}))") for i, j in PAIRS]
+
+
+def _estimate(consistency: float) -> list[tuple[str, str]]:
+    """(name, formula) of mean and scatter from moments."""
+    return [(f"m{i}", f"b{i} + a{i}") for i in range(1, 5)] + [(f"s{i + 1}{j + 1}", f"{consistency} * (p{i + 1}{j + 1} - a{i + 1} * a{j + 1}) + {FLOORS[X[i]] ** 2 if i == j else 0.0}") for i, j in PAIRS]
+
+
+#: Logarithm of the determinant, rounded so that the same subset has the same value.
+_LOG_DET = "round(2 * (" + " + ".join(f"ln(l{i}{i})" for i in range(1, 5)) + "), 6)"
+_CENTRE = [f"b{i}" for i in range(1, 5)]
+_PARAMETERS = [f"m{i}" for i in range(1, 5)] + [f"l{i + 1}{j + 1}" for i, j in PAIRS]
+
+
+def _as(named: list[tuple[str, str]]) -> list[Column]:
+    return [F.expr(text).alias(name) for name, text in named]
+
+
+def _fitted(moments: DataFrame, keys: list[str], consistency: float) -> DataFrame:
+    """Parameters and determinant from moments; starts without a document drop out."""
+    out = moments.where("a1 is not null").select(*keys, *_as(_estimate(consistency)))
+    for name, text in _factor():
+        out = out.withColumn(name, F.expr(text))
+    return out.select(*keys, *_PARAMETERS, F.expr(_LOG_DET).alias("det"))
+
+
+def mcd(rows: DataFrame) -> DataFrame:
+    """(grp, pick, x1..x4) to a row for each group with location m1..m4 and the Cholesky factor l11..l44 of its scatter."""
+    centre = small_side(rows.groupBy("grp").agg(*[F.percentile(x, 0.5).alias(b) for x, b in zip(X, _CENTRE, strict=True)]))
+    around = rows.join(centre, "grp")
+    spread = around.groupBy("grp", *_CENTRE).agg(*[F.percentile(F.abs(F.col(x) - F.col(b)), 0.5).alias(f"d{i + 1}") for i, (x, b) in enumerate(zip(X, _CENTRE, strict=True))])
+    first = spread.select("grp", F.lit(0).alias("start"), *[F.col(f"b{i}").alias(f"m{i}") for i in range(1, 5)], *[(F.greatest(1.4826 * F.col(f"d{i + 1}"), F.lit(FLOORS[X[i]])) if i == j else F.lit(0.0)).alias(f"l{i + 1}{j + 1}") for i, j in PAIRS])
+    params = first.withColumn("det", F.expr(_LOG_DET))
+    moments = around.groupBy("grp", *_CENTRE).agg(*[F.struct(*_as(_moments(c))).alias(f"of{k}") for k, c in enumerate(STARTS, 1)])
+    for k in range(1, len(STARTS) + 1):
+        params = params.unionByName(_fitted(moments.select("grp", F.lit(k).alias("start"), *_CENTRE, f"of{k}.*"), ["grp", "start"], 1.0))
+    params = small_side(params)
+    for _ in range(MOST_STEPS):
+        near = rows.join(params, "grp").select("grp", "start", F.expr(f"round(ln(1 + {_distance()}), {DIGITS})").alias("u"), *X)
+        cut = small_side(near.groupBy("grp", "start").agg(F.percentile("u", SHARE).alias("cut")).join(centre, "grp"))
+        sums = near.join(cut, ["grp", "start"]).where("u <= cut").groupBy("grp", "start", *_CENTRE).agg(*_as(_moments("true")))
+        was = params.select("grp", "start", F.col("det").alias("was"))
+        params = small_side(_fitted(sums, ["grp", "start"], CONSISTENCY).join(was, ["grp", "start"]))
+        moved = not params.where("det <> was").isEmpty()
+        params = params.drop("was")
+        if not moved:
+            break
+    best = small_side(params.groupBy("grp").agg(F.min_by(F.struct(*_PARAMETERS), F.struct("det", "start")).alias("p")).select("grp", "p.*").join(centre, "grp"))
+    usual = rows.join(best, "grp").where(F.expr(f"{_distance()} <= {USUAL}")).groupBy("grp", *_CENTRE).agg(*_as(_moments("true")))
+    again = _fitted(usual, ["grp"], USUAL_CONSISTENCY).drop("det")
+    return small_side(again.unionByName(best.join(again.select("grp"), "grp", "left_anti").select("grp", *_PARAMETERS)))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -124,8 +166,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     stats = checkpoint(stats)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     passed = _with_group(stats.where("not base_failed").select("doc_id", "lang", "source", *counts, "base_failed", *_transformed()))
-    passed = checkpoint(passed.drop("lang", "source"))
-    judged = passed.join(mcd(passed.select("grp", *X)), "grp").select("doc_id", *counts, "base_failed", _distance(X).alias("distance"))
+    pick = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 1)
+    passed = checkpoint(passed.drop("lang", "source").withColumn("pick", pick))
+    judged = passed.join(mcd(passed.select("grp", "pick", *X)), "grp").select("doc_id", *counts, "base_failed", F.expr(_distance()).alias("distance"))
     failed = stats.where("base_failed").select("doc_id", *counts, "base_failed", F.lit(None).cast("double").alias("distance"))
     return judged.unionByName(failed).withColumn("kept", F.coalesce(F.col("distance") <= CUTOFF, F.lit(False)))
 
@@ -136,15 +179,16 @@ def op3_query(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    m = [f"m{i}" for i in range(1, 5)]
+    def listed(named: list[tuple[str, str]]) -> str:
+        return ", ".join(f"{text} {name}" for name, text in named)
 
-    def distance(row: str, par: str) -> str:
-        z: list[str] = []
-        for i in range(4):
-            rest = f"{row}.x{i + 1} - {par}.m{i + 1}" + "".join(f" - {par}.l{i + 1}{j + 1} * {z[j]}" for j in range(i))
-            z.append(f"(({rest}) / {par}.l{i + 1}{i + 1})")
-        return " + ".join(f"{x} * {x}" for x in z)
+    def fitted(name: str, moments: str, keys: str, consistency: float) -> str:
+        steps = [f"{name}_0 as materialized (select {keys}, {listed(_estimate(consistency))} from {moments} where a1 is not null)"]
+        for k, (l, text) in enumerate(_factor(), 1):
+            steps.append(f"{name}_{k} as (select *, {text} {l} from {name}_{k - 1})")
+        return ",\n".join(steps) + f",\n{name} as materialized (select {keys}, {', '.join(_PARAMETERS)}, {_LOG_DET} det from {name}_{len(PAIRS)})"
 
+    b, m = ", ".join(_CENTRE), [f"m{i}" for i in range(1, 5)]
     sql = rf"""
 with w as (select doc_id, lang, source, coalesce(text, '') t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from documents),
@@ -153,28 +197,31 @@ dup as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[
 rep as (select doc_id, count(distinct p) n from (select doc_id, unnest([i, i + 1, i + 2]) p from dup where c > 1) group by 1),
 s0 as (select doc_id, lang, source, len(w) n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols,
     len(l) n_lines, len(l) - len(list_distinct(l)) n_dup_lines, coalesce(n, 0) n_repeat_words from w left join rep using (doc_id)),
-s as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words base_failed from s0),
+s as materialized (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words base_failed from s0),
 k0 as (select *, to_json({{'l': 0, 'a': lang, 'b': source}}) g0, round(ln(word_chars / n_words), 3) x1, round(ln(1 + 100 * n_symbols / word_chars), 3) x2,
-    round(ln(1 + 100 * n_repeat_words / n_words), 3) x3, round(ln(1 + 100 * n_dup_lines / n_lines), 3) x4 from s where not base_failed),
+    round(ln(1 + 100 * n_repeat_words / n_words), 3) x3, round(ln(1 + 100 * n_dup_lines / n_lines), 3) x4, md5(coalesce(doc_id::varchar, ''))[1] pick from s where not base_failed),
 k1 as (select *, case when count(*) over (partition by g0) < {MIN_GROUP} then to_json({{'l': 1, 'a': lang}}) else g0 end g1 from k0),
-k as (select *, case when count(*) over (partition by g1) < {MIN_GROUP} then 'all' else g1::varchar end grp from k1),
-c as (select grp, {", ".join(f"quantile_cont(x{i}, 0.5) m{i}" for i in range(1, 5))} from k group by 1),
-p0 as (select grp, {", ".join(m)}, {", ".join(f"greatest(1.4826 * quantile_cont(abs(x{i} - m{i}), 0.5), {FLOORS[f'x{i}']}) l{i}{i}" for i in range(1, 5))},
-    {", ".join(f"0.0::double l{i + 1}{j + 1}" for i, j in PAIRS if i != j)} from k join c using (grp) group by grp, {", ".join(m)}),"""
-    for t in range(1, STEPS + 1):
+k as materialized (select *, case when count(*) over (partition by g1) < {MIN_GROUP} then 'all' else g1::varchar end grp from k1),
+c as materialized (select grp, {", ".join(f"quantile_cont(x{i}, 0.5) b{i}" for i in range(1, 5))} from k group by 1),
+r as materialized (select * from k join c using (grp)),
+d as (select grp, {b}, {", ".join(f"quantile_cont(abs(x{i} - b{i}), 0.5) d{i}" for i in range(1, 5))} from r group by grp, {b}),
+f0 as materialized (select *, {_LOG_DET} det from (select grp, {", ".join(f"b{i} m{i}" for i in range(1, 5))}, {", ".join(f"greatest(1.4826 * d{i + 1}, {FLOORS[X[i]]}) l{i + 1}{j + 1}" if i == j else f"0.0::double l{i + 1}{j + 1}" for i, j in PAIRS)} from d)),"""
+    for k, condition in enumerate(STARTS, 1):
+        sql += f"\ng{k} as (select grp, {b}, {listed(_moments(condition))} from r group by grp, {b}),\n{fitted(f'f{k}', f'g{k}', 'grp', 1.0)},"
+    sql += "\nt0 as materialized (" + " union all ".join(f"select grp, {k} as start, {', '.join(_PARAMETERS)}, det from f{k}" for k in range(len(STARTS) + 1)) + "),"
+    for t in range(1, MOST_STEPS + 1):
         sql += f"""
-n{t} as (select k.grp, {", ".join(f"x{i} - c.m{i} y{i}" for i in range(1, 5))}, round(ln(1 + {distance("k", f"p{t - 1}")}), 3) u from k join p{t - 1} using (grp) join c using (grp)),
-h{t} as (select grp, quantile_cont(u, {SHARE}) cut from n{t} group by 1),
-q{t} as (select grp, {", ".join(f"avg(y{i}) a{i}" for i in range(1, 5))}, {", ".join(f"avg(y{i + 1} * y{j + 1}) p{i + 1}{j + 1}" for i, j in PAIRS)} from n{t} join h{t} using (grp) where u <= cut group by 1),
-v{t} as (select grp, {", ".join(f"m{i} + a{i} m{i}" for i in range(1, 5))}, {", ".join(f"{CONSISTENCY} * (p{i + 1}{j + 1} - a{i + 1} * a{j + 1}) + {FLOORS[X[i]] ** 2 if i == j else 0.0} s{i + 1}{j + 1}" for i, j in PAIRS)} from q{t} join c using (grp)),"""
-        last = f"v{t}"
-        for i, j in sorted(PAIRS, key=lambda p: (p[1], p[0])):
-            rest = f"s{i + 1}{j + 1}" + "".join(f" - l{i + 1}{x + 1} * l{j + 1}{x + 1}" for x in range(j))
-            name = f"p{t}" if (i, j) == (3, 3) else f"f{t}_{i}{j}"
-            sql += f"\n{name} as (select *, {f'sqrt({rest})' if i == j else f'({rest}) / l{j + 1}{j + 1}'} l{i + 1}{j + 1} from {last}),"
-            last = name
+n{t} as materialized (select r.grp, start, {b}, x1, x2, x3, x4, round(ln(1 + {_distance("r.", "p.")}), {DIGITS}) u from r join t{t - 1} p using (grp)),
+h{t} as materialized (select grp, start, quantile_cont(u, {SHARE}) cut from n{t} group by 1, 2),
+q{t} as (select grp, start, {b}, {listed(_moments("true"))} from n{t} join h{t} using (grp, start) where u <= cut group by grp, start, {b}),
+{fitted(f"t{t}", f"q{t}", "grp, start", CONSISTENCY)},"""
+    sql += f"""
+best as materialized (select * from t{MOST_STEPS} qualify row_number() over (partition by grp order by det, start) = 1),
+e as (select grp, {b}, {listed(_moments("true"))} from r join best p using (grp) where {_distance("r.", "p.")} <= {USUAL} group by grp, {b}),
+{fitted("z", "e", "grp", USUAL_CONSISTENCY)},
+par as (select grp, {", ".join(_PARAMETERS)} from z union all select grp, {", ".join(_PARAMETERS)} from best where grp not in (select grp from z))"""
     cols = "doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words, base_failed"
-    return sql[:-1] + f"\nselect {cols}, {distance('k', f'p{STEPS}')} <= {CUTOFF} kept from k join p{STEPS} using (grp) union all select {cols}, false from s where base_failed"
+    return sql + f"\nselect {cols}, {_distance('k.', 'par.')} <= {CUTOFF} kept from k join par using (grp) union all select {cols}, false from s where base_failed"
 
 
 ORACLE = _oracle()
