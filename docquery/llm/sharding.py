@@ -4,15 +4,18 @@ Arrivals become small immutable Parquet shards. A shard's tier is the logarithm
 Where FAN_IN shards or more of a tier are smaller than half the target size, they are read and written again as files of about the
 target size, without a shuffle; tiers are done from small to large until none is full. Every change is a new
 version: its shard list is written as Parquet, then one small file, renamed into place without overwriting,
-makes it visible. So readers see whole versions, and of two writers with the same base one fails.
+makes it visible. So readers see whole versions, and of two writers with the same base one fails. An arrival may have
+other columns than those before; a version has all of them, in the order in which they came, and older rows have nulls there.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +26,28 @@ TARGET_BYTES, FAN_IN, SMALLEST_BYTES = 128 << 20, 4, 1 << 20
 ENTRY = "path string, bytes bigint, tier int"
 
 
+#: Age in seconds below which vacuum leaves files and superseded versions alone: a writer may be about to commit, a reader be at work.
+RETENTION = 7 * 24 * 3600
+
+
 class ConflictError(RuntimeError):
     """Another writer has committed this version."""
 
 
+class SchemaError(TypeError):
+    """An arrival has another type for a column than the table."""
+
+
+def merged_schema(old: T.StructType, new: T.StructType) -> T.StructType:
+    """The columns of both, by name without regard to case; SchemaError if a column has two types."""
+    known = {f.name.lower(): f for f in old}
+    for f in new:
+        mine = known.setdefault(f.name.lower(), f)
+        if mine.dataType != f.dataType:
+            raise SchemaError(f"column {f.name} is {mine.dataType.simpleString()}, not {f.dataType.simpleString()}")
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in known.values()])
+
+
 class ShardStore:
     """A table of shards below ``root``, a path that the driver and all executors share."""
 
@@ -72,8 +93,10 @@ class ShardStore:
         none = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
         try:
             context.rename(draft, final, none)
-        except Exception as error:
+        except Py4JJavaError as error:
             self._fs.delete(draft, False)
+            if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
             raise ConflictError(f"version {base + 1} exists") from error
         return base + 1
 
@@ -84,14 +107,18 @@ class ShardStore:
         """Writes new shards; returns their entries."""
         at = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.options(**options).parquet(at)
-        files = self.spark.read.schema(df.schema).parquet(at).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).distinct()
-        return files.select("path", "bytes", self._tier(F.col("bytes")).alias("tier"))
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at)  # names and sizes only
+        return files.select("path", F.col("length").alias("bytes"), self._tier(F.col("length")).alias("tier"))
+
+    def _schema(self, version: int) -> T.StructType:
+        return T.StructType.fromJson(json.loads(self._read_commit(version)["schema"]))
 
     def append(self, df: DataFrame, shard_rows: int = 5000) -> int:
-        """Adds an arrival as shards of up to shard_rows rows (at least one for each partition with rows)."""
+        """Adds an arrival as shards of up to shard_rows rows (at least one for each partition with rows). SchemaError if a column has another type than before."""
         base = (self.versions() or [0])[-1]
+        schema = merged_schema(self._schema(base) if base else T.StructType(), df.schema)
         new = self._write(df, maxRecordsPerFile=shard_rows)
-        return self.commit(self.manifest(base).unionByName(new), df.schema, base)
+        return self.commit(self.manifest(base).unionByName(new), schema, base)
 
     def compact(self) -> int:
         """Merges full tiers, from small to large, until none is full; returns the latest version."""
@@ -104,7 +131,7 @@ class ShardStore:
             if not found:
                 return base
             tier = found["tier"]
-            schema = T.StructType.fromJson(json.loads(self._read_commit(base)["schema"]))
+            schema = self._schema(base)
             run = shards.where((F.col("tier") == tier) & (F.col("bytes") < self.done))
             paths = [r.path for r in run.select("path").orderBy("path").toLocalIterator()]  # names of files, as any scan needs them
             merged = self._write(self.spark.read.schema(schema).parquet(*paths).coalesce(max(1, round(found["bytes"] / self.target))))
@@ -116,23 +143,28 @@ class ShardStore:
         version = version or (self.versions() or [0])[-1]
         if version == 0:
             raise ValueError("the store is empty")
-        schema = T.StructType.fromJson(json.loads(self._read_commit(version)["schema"]))
+        schema = self._schema(version)
         paths = [r.path for r in self.manifest(version).select("path").orderBy("path").toLocalIterator()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def vacuum(self) -> int:
-        """Deletes shards that the latest version doesn't name, and older versions; returns the number of deleted files."""
-        versions = self.versions()
+    def vacuum(self, retention: float = RETENTION) -> int:
+        """Deletes versions that were superseded more than ``retention`` seconds ago and shards that no version left names and that are
+        as old; returns the number of deleted shards. With 0 nobody else may write or read older versions meanwhile."""
+        versions, before = self.versions(), (time.time() - retention) * 1000
         if not versions:
             return 0
-        named = {r.path.rsplit("/data/", 1)[-1] for r in self.manifest(versions[-1]).select("path").toLocalIterator()}
-        for version in versions[:-1]:
+        made = {v: self._fs.getFileStatus(self._path(f"versions/{v:020d}")).getModificationTime() for v in versions}
+        gone = [v for v, after in zip(versions, versions[1:]) if made[after] <= before]
+        left = [v for v in versions if v not in gone]
+        named = {r.path.rsplit("/data/", 1)[-1] for v in left for r in self.manifest(v).select("path").toLocalIterator()}
+        for version in gone:
             self._fs.delete(self._path(f"versions/{version:020d}"), False)
         deleted, files = 0, self._fs.listFiles(self._path("data"), True)
         stale = []
         while files.hasNext():
-            path = files.next().getPath()
-            if path.getName().startswith("part-") and path.toString().rsplit("/data/", 1)[-1] not in named:
+            status = files.next()
+            path = status.getPath()
+            if path.getName().startswith("part-") and status.getModificationTime() <= before and path.toString().rsplit("/data/", 1)[-1] not in named:
                 stale.append(path)
         for path in stale:
             deleted += bool(self._fs.delete(path, False))
@@ -140,11 +172,12 @@ class ShardStore:
 
 
 def compacted(docs: DataFrame, root: str, shard_rows: int = 5000, **sizes) -> DataFrame:
-    """docs after arrival as small shards, compaction and vacuum of a store at root. All rows and columns are kept as they are."""
+    """docs after arrival as small shards, compaction and vacuum of a new store at root, which must have no other user. All rows and columns, whatever their names, nulls and
+    repeated rows are kept as they are; no rows give no rows."""
     store = ShardStore(docs.sparkSession, root, **sizes)
     store.append(docs, shard_rows)
     store.compact()
-    store.vacuum()
+    store.vacuum(retention=0)
     return store.read()
 
 
