@@ -71,25 +71,55 @@ def likeness_to_packed(x: Column, y_root: Column, y_packed: Column) -> Column:
     return _dice(F.substring(x, 1, ROOT), phrases(x), y_root, F.regexp_extract_all(F.lower(F.hex(y_packed)), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0)))
 
 
+def _middle(mine: Column, theirs: Column) -> Column:
+    """(at, n, m): the children mine[at : at + n] and theirs[at : at + m] lie between the branches that agree from both ends."""
+
+    def first_unlike(a: Column, b: Column, most: Column) -> Column:
+        found = F.filter(F.sequence(F.lit(0), most), lambda i: (i == most) | ~F.get(a, i).eqNullSafe(F.get(b, i)))
+        return F.get(found, F.lit(0))
+
+    def from_end(at: Column) -> Column:
+        most = F.least(F.size(mine), F.size(theirs)) - at
+        return let(first_unlike(F.reverse(mine), F.reverse(theirs), most), lambda end: F.struct(at.alias("at"), (F.size(mine) - at - end).alias("n"), (F.size(theirs) - at - end).alias("m")))
+
+    return let(first_unlike(mine, theirs, F.least(F.size(mine), F.size(theirs))), from_end)
+
+
 def changed_paragraphs(x: Column, y: Column) -> Column:
-    """(section, paragraph), from 0, of the paragraphs of x under nodes that y doesn't have; empty if the roots agree."""
+    """A struct (left, right) of arrays of (section, paragraph), from 0: the paragraphs of x and those of y in branches that differ.
+
+    From the root down: of two lists of children, those that agree from the start and from the end are left aside; what lies between is
+    compared child by child, and children without a counterpart differ as a whole. So a moved paragraph is in both arrays, an
+    inserted one in that of its own side only, and both are empty just if the roots agree (but for nodes that collide).
+    """
+
+    def sections(of: Column) -> Column:
+        return F.transform(F.slice(F.split(of, "[|]"), 2, 1 << 30), lambda s: F.transform(F.split(s, "/"), lambda q: F.substring(q, 1, NODE)))
+
+    def located(p: Column, mine: str, theirs: str, n: str, m: str) -> Column:
+        def of_section(i: Column) -> Column:
+            def between(r: Column) -> Column:
+                unlike = F.filter(F.sequence(r["at"], r["at"] + r[n] - 1), lambda j: (j >= r["at"] + r[m]) | ~F.get(own, j + 1).eqNullSafe(F.get(other, j + 1)))
+                return F.when(r[n] > 0, F.transform(unlike, lambda j: F.struct(i.alias("section"), j.alias("paragraph"))))
+
+            own, other = F.get(p[mine], i), F.get(p[theirs], i)
+            # a section is its node and the nodes of its paragraphs
+            whole = F.transform(F.sequence(F.lit(0), F.size(own) - 2), lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
+            inner = let(_middle(F.slice(own, 2, 1 << 30), F.slice(other, 2, 1 << 30)) if mine == "x" else _middle(F.slice(other, 2, 1 << 30), F.slice(own, 2, 1 << 30)), between)
+            return F.when(i >= p["r"]["at"] + p["r"][m], whole).when(F.get(own, F.lit(0)) == F.get(other, F.lit(0)), F.slice(whole, 1, 0)).otherwise(F.coalesce(inner, F.slice(whole, 1, 0)))
 
-    def nodes(of: Column) -> Column:
-        return F.slice(F.split(of, "[|]"), 2, 1 << 30)
+        some = F.transform(F.sequence(p["r"]["at"], p["r"]["at"] + p["r"][n] - 1), of_section)
+        none = F.array().cast("array<struct<section:int,paragraph:int>>")
+        return F.coalesce(F.when(p["r"][n] > 0, F.flatten(some)), none)
 
     def below(p: Column) -> Column:
-        def branch(s: Column, i: Column) -> Column:
-            mine = F.slice(F.split(s, "/"), 2, 1 << 30)
-            at = F.transform(mine, lambda q, j: F.struct(i.alias("section"), j.alias("paragraph"), F.substring(q, 1, NODE).alias("node")))
-            missing = F.filter(at, lambda a: ~F.array_contains(p["theirs"], a["node"]))
-            return F.when(F.array_contains(p["sections"], F.substring(s, 1, NODE)), F.slice(at, 1, 0)).otherwise(missing)
+        return F.struct(located(p, "x", "y", "n", "m").alias("left"), located(p, "y", "x", "m", "n").alias("right"))
 
-        found = F.flatten(F.transform(p["mine"], branch))
-        return F.transform(found, lambda a: F.struct(a["section"].alias("section"), a["paragraph"].alias("paragraph")))
+    def top(p: Column) -> Column:
+        nodes = F.transform(p["x"], lambda s: F.get(s, F.lit(0))), F.transform(p["y"], lambda s: F.get(s, F.lit(0)))
+        return let(F.struct(p["x"].alias("x"), p["y"].alias("y"), _middle(*nodes).alias("r")), below)
 
-    theirs = F.flatten(F.transform(nodes(y), lambda s: F.transform(F.slice(F.split(s, "/"), 2, 1 << 30), lambda q: F.substring(q, 1, NODE))))
-    facts = F.struct(nodes(x).alias("mine"), F.transform(nodes(y), lambda s: F.substring(s, 1, NODE)).alias("sections"), theirs.alias("theirs"))
-    return F.when(F.substring(x, 1, ROOT) == F.substring(y, 1, ROOT), F.slice(let(facts, below), 1, 0)).otherwise(let(facts, below))
+    return let(F.struct(sections(x).alias("x"), sections(y).alias("y")), top)
 
 
 def succession(ids: DataFrame) -> DataFrame:
@@ -109,8 +139,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     Edited: the last floor(n_chars / 2) code points are replaced by the first as many (or all) of the next
     document in descending doc_id; after the last comes the first. A null text counts as empty. Rows that share
-    a doc_id each get a row; the next document after them is the one with the next doc_id, whose least text
-    counts if it has several. Null doc_ids and a single document have no other next: they are followed by themselves. No rows give
+    a doc_id each get a row; the next document after them is the one with the next doc_id; if it has several rows, the one
+    with the least head (the part that the edit takes) counts, of those with one head the one with the least root. Null doc_ids and a single document have no other next: they are followed by themselves. No rows give
     no rows.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

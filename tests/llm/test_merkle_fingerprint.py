@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 from docquery.llm import merkle_fingerprint as mf
 from pyspark.sql import functions as F
@@ -19,11 +21,59 @@ def test_equal_texts_only(spark):
     assert found[-1] == found[7] and len({f[:32] for f in found}) == len(texts) - 1
 
 
+def changed(spark, x, y):
+    found = pair(spark, x, y, mf.changed_paragraphs)
+    return [tuple(r) for r in found.left], [tuple(r) for r in found.right]
+
+
+def brute_changes(x, y):
+    """Both sides' changed paragraphs, from texts."""
+
+    def middle(a, b):
+        at = 0
+        while at < min(len(a), len(b)) and a[at] == b[at]:
+            at += 1
+        end = 0
+        while end < min(len(a), len(b)) - at and a[-end - 1] == b[-end - 1]:
+            end += 1
+        return range(at, len(a) - end), range(at, len(b) - end)
+
+    x, y = ([s.split("\n") for s in re.split(r"\n[ \t\r]*\n", t)] for t in (x, y))
+    left, right = [], []
+    for mine, theirs, out, side in ((x, y, left, 0), (y, x, right, 1)):
+        ranges = middle(x, y)
+        for i in ranges[side]:
+            if i not in ranges[1 - side]:
+                out += [(i, j) for j in range(len(mine[i]))]
+            elif mine[i] != theirs[i]:
+                inner = middle(x[i], y[i])
+                out += [(i, j) for j in inner[side] if j not in inner[1 - side] or mine[i][j] != theirs[i][j]]
+    return left, right
+
+
+def test_moves_and_deletions_are_located(spark):
+    assert changed(spark, "a\nb\nc\nd", "a\nc\nb\nd") == ([(0, 1), (0, 2)],) * 2
+    assert changed(spark, "a\nb\nc", "a\nc") == ([(0, 1)], [])
+    assert changed(spark, "a\nc", "a\nb\nc") == ([], [(0, 1)])
+    assert changed(spark, "a\n\nb\n\nc", "a\n\nc") == ([(1, 0)], [])
+    assert changed(spark, "", "x") == ([(0, 0)],) * 2 and changed(spark, "a\na", "a") == ([(0, 1)], [])
+
+
+def test_changes_equal_brute_force(spark):
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice("abc") + rng.choice(["\n", "\n", "\n\n", " "]) for _ in range(rng.randrange(9)))
+    pairs = [(text(), text()) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "x string, y string").coalesce(1).select("x", "y", mf.changed_paragraphs(mf.fingerprint(F.col("x")), mf.fingerprint(F.col("y"))).alias("c"))
+    for r in df.collect():
+        assert ([tuple(p) for p in r.c.left], [tuple(p) for p in r.c.right]) == brute_changes(r.x, r.y), (r.x, r.y)
+        assert (r.x == r.y) == (not r.c.left and not r.c.right)
+
+
 def test_edits_are_located(spark):
     old = "one two three.\nfour five six\n\nseven eight, nine\nten"
     new = "one two three.\nfour FIVE six\n\nseven eight, nine\nten eleven"
-    assert [tuple(r) for r in pair(spark, new, old, mf.changed_paragraphs)] == [(0, 1), (1, 1)]
-    assert pair(spark, old, old, mf.changed_paragraphs) == []
+    assert changed(spark, new, old) == ([(0, 1), (1, 1)],) * 2
+    assert changed(spark, old, old) == ([], [])
     assert 0.3 < pair(spark, old, new, mf.likeness) < 1
 
 
