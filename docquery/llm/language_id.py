@@ -1,6 +1,6 @@
 """Language identification by the nearest centroid.
 
-A text is a vector of character trigrams (lower-cased letters, everything else a space), hashed to DIMENSIONS
+A text is a vector of character trigrams (lower-cased; runs of ASCII characters other than letters are a space), hashed to DIMENSIONS
 buckets, weighted by log term frequency and inverse document frequency, and normalised. Each language has up to
 CENTROIDS centroids from spherical k-means; the nearest by cosine gives the language. The classifier is fit on
 a bounded sample: up to ``sample`` labelled rows a language, those with the least hash of doc_id (idf: of 1.25 times as many). Texts whose
@@ -10,7 +10,6 @@ the same. Prediction reads whole texts of all rows and moves no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +25,12 @@ SAMPLE = 800
 #: A text is rejected below this share of the least cosine of fit rows with a quarter to four times as many trigrams.
 REJECT_SHARE = 0.4
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _NOT_LETTER = np.array([not chr(i).isalpha() for i in range(128)])
 
 
 def trigram_counts(text: str | None) -> np.ndarray | None:
     """Hashed trigram counts of a whole text; None for null and for texts without a letter."""
-    if text is None or not _LETTER.search(text):
+    if text is None or not any(map(str.isalpha, text)):
         return None
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     ascii_ = codes < 128
@@ -84,7 +82,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts = [trigram_counts(t) for t in batch.text]
-            yield pd.DataFrame([(lang, u, np.minimum(c, 65535).astype("<u2").tobytes()) for lang, u, c in zip(batch.lang, batch.u, counts, strict=True) if c is not None], columns=["lang", "u", "counts"])
+            yield pd.DataFrame([(lang, u, c.astype("<u4").tobytes()) for lang, u, c in zip(batch.lang, batch.u, counts, strict=True) if c is not None], columns=["lang", "u", "counts"])
 
     taken = checkpoint(likely.mapInPandas(vectors, "lang string, u double, counts binary"))
 
@@ -92,7 +90,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
         total, n = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
             for c in batch.counts:
-                total += np.frombuffer(c, "<u2") > 0
+                total += np.frombuffer(c, "<u4") > 0
                 n += 1
         yield pd.DataFrame({"bucket": np.append(np.arange(DIMENSIONS), -1), "n": np.append(total, n)})
 
@@ -102,7 +100,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
     idf = np.log1p(found[-1] / (1.0 + np.array([found[i] for i in range(DIMENSIONS)]))).astype(np.float32)
 
     def train(key: tuple, group: pd.DataFrame) -> pd.DataFrame:  # a group has about 1.25 * ``sample`` rows
-        counts = [np.frombuffer(c, "<u2").astype(np.int64) for c in group.sort_values(["u", "counts"]).counts[:sample]]
+        counts = [np.frombuffer(c, "<u4").astype(np.int64) for c in group.sort_values(["u", "counts"]).counts[:sample]]
         x = np.stack([unit_vector(c, idf) for c in counts])
         centroids = spherical_k_means(x, CENTROIDS)
         best = (x @ centroids.T).max(1)

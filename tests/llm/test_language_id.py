@@ -46,3 +46,40 @@ def test_odd_tables(docs, corpus, no_docs, spark):
     assert li.language_id(no_docs).collect() == []
     unlabelled = spark.createDataFrame([(1, "abc", None)], "doc_id int, text string, lang string")
     assert [r.lang_pred for r in li.language_id(unlabelled).collect()] == ["und"]
+
+
+def test_texts_without_a_letter(spark):
+    rows = [*sample(60), *((9000 + 4 * i, t, "aa") for i, t in enumerate(["² ½", "①②", "Ⅳ", "", " ", "\u0301", "_", "1a", "ª", "ʰ"]))]
+    got = {r.doc_id: r.lang_pred for r in li.language_id(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()}
+    assert [got[9000 + 4 * i] == "und" for i in range(10)] == [True] * 7 + [False] * 3
+
+
+def test_nearest_centroid_equals_brute_force(spark):
+    """Vectors and cosines made one by one, in plain Python."""
+    import math
+
+    rows = sample(200, 3) + [(5000, "abc " * 70_000, "aa"), (5001, "Ab1c, äß", "cc")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    model = li.fit(df, sample=40)
+    got = {r.doc_id: r.p for r in df.select("doc_id", li.verdict(spark, model)(F.col("text")).alias("p")).collect()}
+
+    def bucket(gram):
+        a, b, c = map(ord, gram)
+        x = a * 0x9E3779B1 % 2**32 ^ b * 0x85EBCA77 % 2**32 ^ c * 0xC2B2AE3D % 2**32
+        x ^= x >> 15
+        return (x * 0x2C1B3C6D % 2**32) >> 20
+
+    for i, text, _ in rows:
+        shown = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in f" {text.lower()} ")
+        while "  " in shown:
+            shown = shown.replace("  ", " ")
+        counts = {}
+        for k in range(len(shown) - 2):
+            b = bucket(shown[k : k + 3])
+            counts[b] = counts.get(b, 0) + 1
+        weights = {b: math.log1p(n) * float(model["idf"][b]) for b, n in counts.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        cosines = [sum(w * float(c[b]) for b, w in weights.items()) / norm for c in model["centroids"]]
+        best = max(cosines)
+        assert abs(got[i].score - best) < 1e-4
+        assert got[i].lang_pred in {lang for lang, c in zip(model["langs"], cosines, strict=True) if c > best - 1e-4}
