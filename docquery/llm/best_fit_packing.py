@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing.
 
-Documents are dealt by a hash of their id to groups of about GROUP_ROWS, whatever their source, so no group
-grows with the input. In a group, pieces go from large to small into bins of ``capacity`` words that are ordered by residual;
+Pieces are dealt by a hash of their id to groups of about GROUP_ROWS, whatever their source, so no group
+grows with the input; the rows of an id that very many rows share are dealt one by one. In a group, pieces go from large to small into bins of ``capacity`` words that are ordered by residual;
 a bin carries bitmaps of the sources and duplicate clusters in it. The search starts at the least residual that
 holds the piece and goes on to its successors until a bin has neither the piece's source nor its cluster; if
 none does, a bin is opened. A document longer than a bin fills bins of its own, and the rest is packed.
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, checkpoint, hot_keys
 
 CAPACITY, GROUP_ROWS = 2048, 4096
 
@@ -55,10 +55,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     each; no rows give no rows.
     """
     sized = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("cluster"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("words"))
-    groups = max(1, -(-docs.count() // group_rows))
-    pieces = sized.select("doc_id", "source", "cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("words") / capacity) - 1, F.lit(0).cast("bigint")))).alias("piece"), "words")
+    of_doc = F.greatest(F.ceil(F.col("words") / capacity), F.lit(1))
+    sized = checkpoint(sized)
+    groups = max(1, -(-(sized.agg(F.sum(of_doc)).first()[0] or 0) // group_rows))
+    # a row's place in the checkpoint tells rows of one id apart
+    crowded = hot_keys(sized, "doc_id").withColumnRenamed("doc_id", "crowded")
+    sized = sized.withColumn("place", F.monotonically_increasing_id()).join(crowded, F.col("doc_id").eqNullSafe(F.col("crowded")), "left").withColumn("place", F.when(F.col("tasks").isNotNull(), F.col("place")))
+    pieces = sized.select("doc_id", "source", "cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), of_doc - 1)).alias("piece"), "words", "place")
     pieces = pieces.withColumn("n_words", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity)).drop("words")
-    pieces = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    pieces = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "place"), F.lit(groups))).drop("place")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_words", "doc_id", "piece", "source", "cluster"], ascending=[False, True, True, True, True], kind="stable")

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 from docquery.llm.best_fit_packing import best_fit, pack
+from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -53,5 +54,21 @@ def test_bins_of_a_table(docs, corpus):
     assert max(r.piece for r in got) == 29  # 9,000 words
 
 
+def test_table_equals_brute_force(docs):
+    """One group: the pieces from large to small, each in the tightest of all bins that it fits."""
+    rows = [r for r in pack(docs, capacity=300, group_rows=10**6).collect() if r.n_words]
+    rows.sort(key=lambda r: (-r.n_words, r.doc_id is None, str(r.doc_id), r.piece, r.source is None, r.source or "", r.cluster))
+    want = brute([r.n_words for r in rows], [r.source for r in rows], [r.cluster for r in rows], 300)
+    assert [r.bin_id for r in rows] == want
+
+
+def test_groups_stay_small(spark):
+    """Neither long documents nor rows that share an id, null included, make a large group."""
+    docs = spark.createDataFrame([(None, "a b c", "s")] * 3000 + [(7, "a b c", "s")] * 2000 + [(i, "w " * 500, None) for i in range(20)], "doc_id int, text string, source string").repartition(4)
+    got = pack(docs, capacity=10, group_rows=100).selectExpr("coalesce(bin_id >> 32, -1) as g", "n_words").groupBy("g").agg(F.count("*").alias("n"), F.sum("n_words").alias("w")).collect()
+    assert sum(r.n for r in got) == 6000 and sum(r.w for r in got) == 15000 + 20 * 500
+    assert max(r.n for r in got) < 200
+
+
 def test_empty(no_docs):
     assert pack(no_docs).collect() == []
