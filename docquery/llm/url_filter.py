@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, lower_ascii
+from .common import LOWER, UPPER, checkpoint, lower_ascii
 
 WORDS, BITS_PER_URL, BROADCAST_BYTES = 4, 16, 32 << 20
 #: (action, host, path) of the registered query.
@@ -39,7 +39,7 @@ def canonical(url: Column) -> Column:
 
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """A struct (size, rule, action) of the longest rule that fits, null if none does."""
+    """A struct (size, rule, action) of the longest rule that fits, null if none does. Of rules of one length the one with the greater text wins, of a rule listed twice block."""
     if not rules:
         return F.lit(None).cast("struct<size:int,rule:string,action:string>")
     fits = [F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(a).alias("action"))) for a, h, p in rules]
@@ -47,7 +47,7 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
+    return F.when(key.isNotNull(), F.pmod(F.xxhash64(key), F.lit(blocks)))
 
 
 def _bit(key: Column, word: int) -> Column:
@@ -68,25 +68,23 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     are blocked and all others allowed. Null URLs and URLs without :// have an empty host and path and are allowed, listed ones
     of that kind count for nothing. Repeated rows each get their row; either table may be empty.
     """
-    keys = listed.select(canonical(F.col("url")).alias("key")).where("key is not null").distinct()
+    keys = checkpoint(listed.select(canonical(F.col("url")).alias("key")).where("key is not null").distinct())
     blocks = max(1, -(-keys.count() * BITS_PER_URL // (64 * WORDS)))
     bloom = bloom_blocks(keys, blocks)
     bloom = F.broadcast(bloom) if blocks * 8 * (WORDS + 2) <= BROADCAST_BYTES else bloom
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("url")).withColumn("r", longest_rule(F.col("host"), F.col("path"), rules))
     judged = judged.withColumn("key", F.when(F.col("r").isNull(), canonical(F.col("url")))).drop("url")
-    probed = judged.where("key is not null").withColumn("block", _block(F.col("key"), blocks)).join(bloom, "block", "left")
-    hit = F.lit(True)
+    # rows that the rules decide have no block; they are spread over blocks that don't exist
+    none = -1 - F.pmod(F.xxhash64("host", "path"), F.lit(1 << 20))
+    probed = judged.withColumn("block", F.coalesce(_block(F.col("key"), blocks), none)).join(bloom, "block", "left")
+    hit = F.col("key").isNotNull()
     for i in range(WORDS):
         hit = hit & (F.call_function("shiftright", F.col(f"w{i}"), _bit(F.col("key"), i)).bitwiseAND(F.lit(1)) == 1)
     probed = probed.withColumn("possible", F.coalesce(hit, F.lit(False)))
     exact = probed.where("possible").join(keys.withColumn("found", F.lit(True)), "key", "left")
     columns = ["page_id", "host", "path", F.col("r.rule").alias("rule")]
-    return (
-        judged.where("key is null").select(*columns, F.coalesce("r.action", F.lit("allow")).alias("verdict"))
-        .unionByName(probed.where("not possible").select(*columns, F.lit("allow").alias("verdict")))
-        .unionByName(exact.select(*columns, F.when(F.col("found"), "block").otherwise("allow").alias("verdict")))
-    )
+    return probed.where("not possible").select(*columns, F.coalesce("r.action", F.lit("allow")).alias("verdict")).unionByName(exact.select(*columns, F.when(F.col("found"), "block").otherwise("allow").alias("verdict")))
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

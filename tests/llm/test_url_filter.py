@@ -46,3 +46,10 @@ def test_shuffled_blocks(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "page_id bigint, url string")
     assert u.url_filter(none, none.select("url"), u.RULES).collect() == []
+
+
+def test_rules_of_one_length(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.org/x"), (2, "http://b.org/xy")], "page_id int, url string")
+    rules = [("block", "b.org", "/x"), ("allow", "b.org", "/x"), ("allow", "a.b.org", "/"), ("block", "b.org", "/xy")]
+    assert {r.page_id: (r.rule, r.verdict) for r in u.url_filter(pages, pages.limit(0), rules).collect()} == {1: ("a.b.org/", "allow"), 2: ("b.org/xy", "block")}
+    assert u.url_filter(pages, pages.limit(0), rules[:2]).where("verdict = 'block'").count() == 2
