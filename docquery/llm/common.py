@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,9 +17,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one is set only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; in local mode one is made where it is unset, on a cluster that is an error."""
     named, used = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir()
-    found = named or used or tempfile.mkdtemp(prefix="docquery-")
+    found = named or used
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="docquery-")
     if not used:
         spark.sparkContext.setCheckpointDir(found)
     return found
