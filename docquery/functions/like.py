@@ -37,6 +37,7 @@ def to_regex(pattern: str) -> str:
 
 def like(column: Column, pattern: str) -> Column:
     """Plain prefixes, suffixes and infixes become string tests that a scan can push down."""
+    pattern = re.sub("%%+", "%", pattern) if "[" not in pattern else pattern
     core = pattern.strip("%")
     if core and not re.search(r"[%_\[]", core):
         if pattern == core:

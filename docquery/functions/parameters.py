@@ -10,7 +10,8 @@ from typing import Any
 
 from .like import escape
 
-_PART = re.compile(r"'(?:[^']|'')*'|\[([^\]\[]+)\]|@([A-Za-z_][\w-]*)")
+#: A text literal, a bracketed name or a parameter.
+PART = re.compile(r"'(?:[^']|'')*'|\[([^\]\[]+)\]|@([A-Za-z_][\w-]*)")
 
 
 class MissingParameterError(ValueError):
@@ -94,4 +95,4 @@ def bind(text: str, values: Mapping[str, Any], marker: str) -> tuple[str, dict[s
         used.update({f"{name}_{i}": v for i, v in enumerate(many, 1)})
         return "(" + ", ".join(f"{marker}{name}_{i}" for i in range(1, len(many) + 1)) + ")"
 
-    return _PART.sub(put, text), used
+    return PART.sub(put, text), used

@@ -10,6 +10,14 @@ from typing import Any
 from pyspark.sql import types as T
 
 
+class GuidType(T.StringType):
+    """Ids that are made as GUIDs; kept as text."""
+
+    @classmethod
+    def typeName(cls) -> str:
+        return "string"
+
+
 class JsonFormat(Enum):
     TEXT_ONLY = 0
     COMPRESSED_ONLY = 1
@@ -67,10 +75,11 @@ class UniqueRule:
 
 @dataclass(frozen=True)
 class RelatedDocuments:
-    """documents(doc) gives (id, table) pairs, kept as edges in ``table``."""
+    """documents(doc) gives (id, table) pairs, kept as edges in ``table``; pairs is the same for rows in bulk, SQL text of an array of structs (id, type)."""
 
     table: str
     documents: Callable[[Any], list[tuple[Any, str]]]
+    pairs: str | None = None
 
 
 EDGE_SCHEMA = "Id string, `Table` string, RelatedDocumentId string, RelatedDocumentTable string"
@@ -125,7 +134,7 @@ class DocumentMap:
         return names + ["JSON"] * self.json_format.has_text + ["JSONBlob"] * self.json_format.has_blob
 
     def stored_schema(self) -> T.StructType:
-        of = {self.id: self.id_type} | {c.name: c.type for c in self.columns} | {"JSON": T.StringType(), "JSONBlob": T.BinaryType()}
+        of = {self.id: T.StringType() if isinstance(self.id_type, GuidType) else self.id_type} | {c.name: c.type for c in self.columns} | {"JSON": T.StringType(), "JSONBlob": T.BinaryType()}
         if self.type_column:
             of.setdefault(self.type_column, T.StringType())
         if self.row_version:

@@ -50,14 +50,21 @@ class JoinBuilder:
         return getattr(self.done(), name)
 
 
+def may_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own estimate of the size is within its threshold for broadcasts."""
+    session = df.sparkSession
+    most = session._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most
+
+
 def join_all(left: DataFrame, left_alias: str, joins: tuple[Join, ...], hint: str | None = None) -> DataFrame:
-    """Joins in order. The left hash join asks for a shuffled hash join; Catalyst picks the rest."""
+    """Joins in order. The left hash join asks for a shuffled hash join unless its right side may be broadcast; Catalyst picks the rest."""
     for j in joins:
         right = j.right._lower(ordered=False).alias(j.alias)
         if j.kind == "cross":
             left = left.crossJoin(right)
             continue
         on = reduce(lambda a, b: a & b, [F.col(f"`{a}`.`{x}`") == F.col(f"`{j.alias}`.`{y}`") for a, x, y in j.on])
-        asked = "shuffle_hash" if j.kind == "left" else hint
+        asked = hint if j.kind != "left" else None if may_broadcast(right) else "shuffle_hash"
         left = left.join(right.hint(asked) if asked else right, on, j.kind)
     return left

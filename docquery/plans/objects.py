@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 from dataclasses import replace
 from typing import Any
 
-from ..functions.parameters import normalise
+from pyspark.sql import types as T
+
+from ..functions.parameters import PART, bind, normalise
 from .query import Query
 
-#: Types of declared parameters.
-TYPES = ("string", "bigint", "int", "boolean")
+_UNSET = object()
 
 
 def as_view(query: Query, name: str) -> str:
@@ -19,37 +22,50 @@ def as_view(query: Query, name: str) -> str:
     return name
 
 
-def _declared(query: Query, text: str) -> dict[str, tuple[str, Any]]:
-    import re
-
-    names = dict.fromkeys(normalise(n) for n in re.findall(r"@([A-Za-z_]\w*)", text))
+def _declared(query: Query, name: str, text: str) -> tuple[str, dict[str, tuple[str, Any]]]:
+    """The text with its @parameters as those of the function ``name``, and their types and defaults."""
+    names = dict.fromkeys(normalise(m[2]) for m in PART.finditer(text) if m[2])
     found = {}
-    for name in names:
-        if query.types.get(name) not in TYPES:
-            raise ValueError(f"parameter {name} needs a type of {', '.join(TYPES)}")
-        found[name] = (query.types[name], query.defaults.get(name, TYPES))
-    return found
+    for p in names:
+        if p not in query.types:
+            raise ValueError(f"parameter {p} needs a type")
+        found[p] = (T.StructType.fromDDL(f"p {query.types[p]}")["p"].dataType.simpleString(), query.defaults.get(p, _UNSET))
+    return bind(text, dict.fromkeys(names), f"{name}.")[0], found
 
 
 def _literal(value: Any) -> str:
+    """A value as SQL text."""
     if value is None:
         return "NULL"
     if isinstance(value, bool):
         return str(value).upper()
-    return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def as_function(query: Query, name: str, condition: str, view: str) -> str:
+    if isinstance(value, datetime.datetime):
+        return f"TIMESTAMP '{value.isoformat(' ')}'"
+    if isinstance(value, datetime.date):
+        return f"DATE '{value.isoformat()}'"
+    if isinstance(value, decimal.Decimal):
+        return f"{value:f}BD"
+    if isinstance(value, float):
+        return f"DOUBLE('{value!r}')"
+    if isinstance(value, (bytes, bytearray)):
+        return f"X'{value.hex()}'"
+    return str(value) if isinstance(value, int) else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def as_function(query: Query, name: str, condition: str | None = None, view: str | None = None) -> str:
     """A temporary table function: the rows of the query, by way of ``view``, where the condition on @parameters holds.
 
-    Every parameter needs a declared type; those with a default may be left out of a call if they come last.
+    Without a condition, the query's own text conditions that name parameters are it; they may use the columns that the query returns. Every parameter needs a
+    declared type, any of Spark SQL; those with a default may be left out of a call if they come last.
     """
     spark = query.txn.spark
-    as_view(query, view)
-    declared = _declared(query, condition)
-    for p in declared:
-        condition = condition.replace(f"@{p}", f"{name}.{p}")
-    head = ", ".join(f"{p} {t}" + ("" if d is TYPES else f" DEFAULT {_literal(d)}") for p, (t, d) in declared.items())
+    if condition is None:
+        own = [w for w in query.wheres if isinstance(w, str) and any(m[2] for m in PART.finditer(w))]
+        condition = " AND ".join(f"({w})" for w in own) or "TRUE"
+        query = replace(query, wheres=tuple(w for w in query.wheres if w not in own))
+    view = as_view(query, view or f"{name}_rows")
+    condition, declared = _declared(query, name, condition)
+    head = ", ".join(f"{p} {t}" + ("" if d is _UNSET else f" DEFAULT {_literal(d)}") for p, (t, d) in declared.items())
     columns = spark.table(view).schema
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({head}) RETURNS TABLE({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in columns)}) RETURN SELECT * FROM {view} WHERE {condition}")
     return name

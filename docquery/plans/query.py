@@ -339,9 +339,17 @@ class Query:
         made = df.select(*columns)
         return made.drop(*[c for c in made.columns if c.startswith(_BOUND)])
 
+    def _aggregates(self, df: DataFrame) -> bool:
+        """Whether a calculated column makes one row of all, as the analyser sees it."""
+        return any(self._pick_made(df, p)._jdf.queryExecution().analyzed().nodeName() == "Aggregate" for p in self.picks if p.kind == "expr" and "(" in p.text)
+
+    def _pick_made(self, df: DataFrame, p: Pick) -> DataFrame:
+        df, columns = self._pick(df, p)
+        return df.select(*columns)
+
     def _lower(self, ordered: bool = True, limit: int | None = None, offset: int = 0, distinct: bool = False) -> DataFrame:
         df = self._filtered()
-        orders = () if self.groups else self.orders or (self._id_order() if self.implicit_order and not distinct and not any(p.kind == "expr" and _aggregates(p.text) for p in self.picks) else ())
+        orders = () if self.groups else self.orders or (self._id_order() if self.implicit_order and not distinct and not self._aggregates(df) else ())
         if orders and not self.orders and self.map.id not in df.columns:
             orders = ()  # a derived table without the id
         if ordered and orders and not distinct:
@@ -439,9 +447,3 @@ class Query:
     async def run_async(self, terminal: str, *args: Any) -> Any:
         """Any terminal by name in a worker thread: ``await q.run_async("count")``."""
         return await asyncio.to_thread(getattr(self, terminal), *args)
-
-
-def _aggregates(text: str) -> bool:
-    head = text.strip().lower().split("(")[0].strip()
-    return head in ("count", "sum", "avg", "min", "max", "count_if", "round(sum") and " over" not in text.lower()
-

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 from typing import Any
 
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.json_members import compress, decompress
-from .mapping import Column, DocumentMap, JsonFormat, MapRegistry
+from .mapping import Column, DocumentMap, GuidType, JsonFormat, MapRegistry, RelatedDocuments, UniqueRule
 from .operators.predicates import ConditionGroup, P
 from .plans.objects import as_function, as_procedure, as_view
 from .sources.store import ReadTransaction, Store
 from .sources.tables import ParquetTables
+from .sources.write import UniqueConstraintError, WriteTransaction
 
 
 class Event:
@@ -46,10 +48,11 @@ def _plain(name: str, key: str, key_type: T.DataType, *columns: str) -> Document
 
 ORDERS = _plain("orders", "o_orderkey", T.LongType(), "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 CUSTOMER = _plain("customer", "c_custkey", T.LongType(), "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
-NATION = _plain("nation", "n_nationkey", T.IntegerType(), "n_name", "n_regionkey")
+NATION = DocumentMap("nation", (Column("n_name", max_length=10_000), Column("n_regionkey", T.IntegerType())), id="n_nationkey", id_type=T.IntegerType(), json_format=JsonFormat.NO_JSON, document=Nation)
 REGION = _plain("region", "r_regionkey", T.IntegerType(), "r_name")
 PART = _plain("part", "p_partkey", T.LongType(), "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
 EVENTS = DocumentMap("events", table="event_documents", columns=tuple(Column(c) for c in ("ts", "user_id", "value")), id="event_id", id_type=T.LongType(), document=Event, type_column="event_type", types={"click": Click, "purchase": Purchase}, json={"k": "bigint"})
+TAGGED = DocumentMap("tagged", table="tagged_events", id="event_id", id_type=T.LongType(), json={"t": "array<bigint>"})
 
 
 class _Tables(ParquetTables):
@@ -58,6 +61,8 @@ class _Tables(ParquetTables):
     def read(self, name: str, version: Any = None) -> DataFrame:
         if name == "event_documents":
             return super().read("events", version).withColumnRenamed("props", "JSON")
+        if name == "tagged_events":
+            return super().read("events", version).select("event_id", F.to_json(F.struct(F.array(F.col("user_id") % 5, F.lit(7)).alias("t"))).alias("JSON"))
         return super().read(name, version)
 
 
@@ -92,10 +97,10 @@ _add("rows_source", lambda t: t.query("nation").inner_join(t.from_rows([(1, "a")
 _add("constant_row", lambda t: t.constant(7, "value").to_df(), "select 7::int as value")
 _add("hint_and_option", lambda t: t.query("nation").hint("broadcast").no_lock().option("RECOMPILE").where("n_regionkey", "=", 2).to_df(), "select * from nation where n_regionkey = 2")
 _add("column_names", lambda t: t.spark.createDataFrame([(i, n) for i, n in enumerate(t.column_names("orders"))], "position int, name string"), "select (row_number() over () - 1)::int as position, name from (select unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) as name)")
-_add("execute_reader", lambda t: t.sql("select c_mktsegment, count(*) as n from {customer} where c_nationkey in @some group by c_mktsegment", {"some": [1, 2, 3]}), "select c_mktsegment, count(*) as n from customer where c_nationkey in (1, 2, 3) group by c_mktsegment")
+_add("execute_reader", lambda t: t.spark.createDataFrame(t.execute_reader("select c_mktsegment, count(*) as n from {customer} where c_nationkey in @some group by c_mktsegment", {"some": [1, 2, 3]}), "c_mktsegment string, n bigint"), "select c_mktsegment, count(*) as n from customer where c_nationkey in (1, 2, 3) group by c_mktsegment")
 
 # key lookups
-_add("load_one", lambda t: t.load_df("orders", [5]), f"select {_O} from orders where o_orderkey = 5")
+_add("load_one", lambda t: t.spark.createDataFrame([vars(t.load(Nation, 5)), vars(t.load_required(Nation, 7))], "n_nationkey int, n_name string, n_regionkey int"), "select n_nationkey, n_name, n_regionkey from nation where n_nationkey in (5, 7)")
 _add("load_many", lambda t: t.load_df("orders", [1, 2, 3, 3, None, 500, 10**9]), f"select {_O} from orders where o_orderkey in (1, 2, 3, 500, 1000000000)")
 _add("load_many_large", lambda t: t.load_df("orders", range(0, 12000, 4)), f"select {_O} from orders where o_orderkey % 4 = 0 and o_orderkey < 12000")
 _add("load_missing", lambda t: t.missing_df("orders", [1, 2, 10**9, 10**9 + 1]), "select k as o_orderkey from (values (1::bigint), (2), (1000000000), (1000000001)) v(k) where k not in (select o_orderkey from orders)")
@@ -115,7 +120,8 @@ _add("where_like", lambda t: t.query("part").where("p_type", "like", "%S_EEL%").
 _add("where_not_like", lambda t: t.query("part").where("p_name", "not like", "%ring%").to_df(), "select * from part where p_name not like '%ring%'")
 _add("where_like_escaped", lambda t: t.from_table("documents").where("text", "like", "%[%][%]%").column("doc_id").to_df(), "select doc_id from documents where text like '%\\%\\%%' escape '\\'")
 _add("where_like_class", lambda t: t.query("part").where("p_name", "like", "[a-c]%[^x]").column("p_partkey").column("p_name").to_df(), "select p_partkey, p_name from part where regexp_matches(p_name, '^[a-c].*[^x]$')")
-_add("like_parameter", lambda t: t.raw_sql_query("select p_partkey, p_name from {part}").where("p_name like @name").parameter("name", "%a_e%").to_df(), "select p_partkey, p_name from part where p_name like '%a_e%'")
+_add("like_parameter", lambda t: t.raw_sql_query("select p_partkey, p_name from {part}").where("p_name like @name").like_parameter("name", "ring").to_df(), "select p_partkey, p_name from part where p_name like '%ring%'")
+_add("where_like_double_wildcard", lambda t: t.query("part").where("p_name", "like", "%%e").column("p_partkey").to_df(), "select p_partkey from part where p_name like '%%e'")
 _add("where_between", lambda t: t.query("orders").where("o_orderdate", "between", datetime(1995, 1, 1), datetime(1995, 12, 31)).to_df(), "select * from orders where o_orderdate between timestamp '1995-01-01' and timestamp '1995-12-31'")
 _add("where_between_or_equal", lambda t: t.query("orders").where("o_totalprice", "between or equal", 1000.0, 20000.0).to_df(), "select * from orders where o_totalprice >= 1000 and o_totalprice <= 20000")
 _add("where_in", lambda t: t.query("nation").where("n_nationkey", "in", [1, 5, 7, None]).to_df(), "select * from nation where n_nationkey in (1, 5, 7)")
@@ -156,7 +162,7 @@ _add("json_range", lambda t: t.queryable(Event).where(P.k.between(10, 20)).selec
 _add("json_is_null", lambda t: t.queryable(Event).where(P.missing.part.is_null()).where(P.k.is_not_null()).select(P.event_id).to_df(), "select event_id from events where json_extract(props, '$.missing.part') is null and json_extract(props, '$.k') is not null")
 _add("json_project", lambda t: t.queryable(Event).select(P.event_id, k=P.k).to_df(), f"select event_id, {_K} as k from events")
 _add("json_order", lambda t: t.queryable(Event).order_by_descending(P.k).then_by(P.event_id).take(20).select(P.event_id).to_df(), f"select event_id from events order by {_K} desc nulls last, event_id limit 20")
-_add("json_array_contains", lambda t: t.raw_sql_query("select event_id, format_string('{{\"t\": [%s, 7]}}', user_id % 5) as JSON from {events}").where("array_contains(from_json(get_json_object(JSON, '$.t'), 'array<int>'), @v)").parameter("v", 3).column("event_id").to_df(), "select event_id from events where user_id % 5 = 3")
+_add("json_array_contains", lambda t: t.queryable(TAGGED).where(P.t.has(3)).select(P.event_id).to_df(), "select event_id from events where user_id % 5 = 3")
 _add("polymorphic_scan", lambda t: t.query(Click).column("event_id").column("event_type").to_df(), "select event_id, event_type from events where event_type = 'click'")
 _add("polymorphic_base_scan", lambda t: t.query(Event).to_df(), "select event_id, ts, user_id, event_type, value, props as JSON from events")
 _add("polymorphic_join", lambda t: t.query("customer").alias("c").inner_join(t.query(Purchase), "e").on("c_custkey", "user_id").column("c_custkey", None, "c").column("event_id", None, "e").to_df(), "select c_custkey, event_id from customer join (select * from events where event_type = 'purchase') e on c_custkey = user_id")
@@ -209,11 +215,20 @@ _add("view_query", lambda t: t.from_table(as_view(t.query("orders").where("o_ord
 
 
 def _function(t: ReadTransaction) -> DataFrame:
-    name = as_function(t.query("nation").parameter_default("region", 1, "int").parameter_default("least", 0, "int"), "docquery_nations", "n_regionkey = @region and n_nationkey >= @least", "docquery_nations_of")
+    name = as_function(t.query("nation").parameter_default("region", 1, "int").parameter_default("least", 0, "int"), "docquery_nations", "n_regionkey = @Region and n_nationkey >= @least", "docquery_nations_of")
     return t.spark.sql(f"select * from {name}(2) union all select * from {name}() union all select * from {name}(3, 20)")
 
 
 _add("tvf_call", _function, "select * from nation where n_regionkey in (1, 2) or (n_regionkey = 3 and n_nationkey >= 20)")
+
+
+def _dated(t: ReadTransaction) -> DataFrame:
+    orders = t.query("orders").where("o_orderdate >= @Since and '@since' <> ''").where("o_totalprice < @most").where("o_orderstatus", "=", "F")
+    name = as_function(orders.declare("since", "date").parameter_default("most", 100000.0, "double"), "docquery_orders_since")
+    return t.spark.sql(f"select o_orderkey, o_totalprice from {name}(DATE '1997-01-01')")
+
+
+_add("tvf_of_own_conditions", _dated, "select o_orderkey, o_totalprice from orders where o_orderdate >= date '1997-01-01' and o_totalprice < 100000 and o_orderstatus = 'F'")
 _add("procedure_call", lambda t: t.call(as_procedure(t.query("nation").where("n_regionkey = @region").parameter_default("region", 0), "nations"), Region=4), "select * from nation where n_regionkey = 4")
 
 # writes
@@ -221,8 +236,11 @@ _NATIONS = DocumentMap("nations", (Column("n_name", max_length=50), Column("n_re
 
 
 def _shared_folder(spark: SparkSession) -> str:
+    """A new path below the folder that the cluster shares; in local mode one is made where spark.checkpoint.dir is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="docquery-")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/store-{uuid.uuid4().hex}"
@@ -250,16 +268,121 @@ _writing("delete_by_where", lambda t: t.delete_query(Nation).where("n_regionkey"
 _writing("rollback_keeps", lambda t: t.delete_query(Nation).delete(), "select * from nation", commit=False)
 
 
-@_query("related_edges", "select o_orderkey::varchar as Id, 'orders' as \"Table\", o_custkey::varchar as RelatedDocumentId, 'customer' as RelatedDocumentTable from orders where o_orderkey <= 1000")
-def _related(t: ReadTransaction) -> DataFrame:
-    rows = t.query("orders").where("o_orderkey", "<=", 1000).to_df()
-    edges = F.array(F.struct(F.col("o_custkey").cast("string").alias("id"), F.lit("customer").alias("type")))
-    return rows.select(F.col("o_orderkey").cast("string").alias("Id"), F.lit("orders").alias("Table"), F.explode(edges).alias("e")).select("Id", "Table", F.col("e.id").alias("RelatedDocumentId"), F.col("e.type").alias("RelatedDocumentTable")).distinct()
+@dataclass
+class Order:
+    o_orderkey: int = 0
+    o_custkey: int = 0
+    o_orderstatus: str = ""
+
+
+@dataclass
+class Token:
+    Id: str | None = None
+    Text: str = ""
+
+
+_RELATED = RelatedDocuments("RelatedDocument", lambda o: [(o.o_custkey, "customer")], "array(struct(o_custkey as id, 'customer' as type))")
+_WRITTEN = DocumentMap("written", (Column("o_custkey", T.LongType()), Column("o_orderstatus")), id="o_orderkey", id_type=T.LongType(), json_format=JsonFormat.NO_JSON, document=Order, related=(_RELATED,))
+_UNIQUE = replace(_NATIONS, unique=(UniqueRule("name", ("n_name",), "the name is taken"),))
+_TOKENS = DocumentMap("tokens", (Column("Text"),), id_type=GuidType(), json_format=JsonFormat.NO_JSON, document=Token)
+
+
+def _orders(name: str, change: Callable, table: str, sql: str) -> None:
+    """A change of all orders, written with their edges, and a table after it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = Store.versioned(spark, _shared_folder(spark), _WRITTEN)
+        with store.begin_write() as txn:
+            txn.insert_df(Order, spark.read.parquet(f"{sf_dir}/orders.parquet"))
+            txn.commit()
+        with store.begin_write() as txn:
+            change(txn)
+            txn.commit()
+        return store.begin_read().table(table)
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+_EDGES = "select o_orderkey::varchar as Id, 'written' as \"Table\", o_custkey::varchar as RelatedDocumentId, 'customer' as RelatedDocumentTable from "
+_orders("related_edges", lambda t: None, "RelatedDocument", _EDGES + "orders")
+_orders("edges_after_update", lambda t: (t.update(Order(1, 77, "X")), t.update(Order(2, 78, "X")), t.update(Order(2, 79, "X"))), "RelatedDocument", _EDGES + "(select o_orderkey, case o_orderkey when 1 then 77 when 2 then 79 else o_custkey end as o_custkey from orders)")
+_orders("edges_after_delete", lambda t: (t.delete(1, Order), t.delete_query(Order).where("o_orderstatus", "=", "P").delete()), "RelatedDocument", _EDGES + "orders where o_orderkey <> 1 and o_orderstatus <> 'P'")
+_orders("delete_many_orders", lambda t: t.delete_query(Order).where("o_custkey % 3 = 0").delete(), "written", "select o_orderkey, o_custkey, o_orderstatus from orders where o_custkey % 3 <> 0")
+_writing("update_missing", lambda t: t.update(Nation(1000, "GHOST", 1)), "select * from nation")
+
+
+def _rejected(name: str, change: Callable[[WriteTransaction], Any], sql: str) -> None:
+    """Whether a unique rule rejects each of some changes, beside the table after them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = Store.versioned(spark, _shared_folder(spark), _UNIQUE)
+        with store.begin_write() as txn:
+            txn.insert_df(Nation, spark.read.parquet(f"{sf_dir}/nation.parquet"))
+            txn.commit()
+        said = change(store)
+        return store.begin_read().table("nations").select("n_nationkey", "n_name").withColumn("rejected", F.lit(said))
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+def _try_all(*changes: Callable[[WriteTransaction], Any]) -> Callable[[Store], str]:
+    def run(store: Store) -> str:
+        said = []
+        for change in changes:
+            with store.begin_write() as txn:
+                change(txn)
+                try:
+                    txn.commit()
+                    said.append("no")
+                except UniqueConstraintError:
+                    said.append("yes")
+        return " ".join(said)
+
+    return run
+
+
+_rejected(
+    "unique_rejects",
+    _try_all(lambda t: t.insert(Nation(100, "NATION_3", 1)), lambda t: t.insert(Nation(101, None, 1)), lambda t: t.insert(Nation(102, None, 1)), lambda t: t.insert(Nation(5, "NEW", 1)), lambda t: t.insert_many([Nation(103, "TWICE", 1), Nation(104, "TWICE", 1)])),
+    "select n_nationkey, n_name, 'yes no yes yes yes' as rejected from (select n_nationkey, n_name from nation union all values (101, null))",
+)
+
+
+def _unique_names(store: Store) -> str:
+    return _try_all(*[lambda t, k=k: t.update(Nation(k, "SAME", 0)) for k in (1, 2)], lambda t: t.update(Nation(1, "OTHER", 0)), lambda t: t.update(Nation(2, "SAME", 0)))(store)
+
+
+_rejected("unique_check", _unique_names, "select n_nationkey, case n_nationkey when 1 then 'OTHER' when 2 then 'SAME' else n_name end as n_name, 'no yes no no' as rejected from nation")
+
+
+@_query("guid_ids", "select n_name, 36 as length, true as fits, count(*) over () as ids from nation")
+def _guids(t: ReadTransaction) -> DataFrame:
+    store = Store.versioned(t.spark, _shared_folder(t.spark), _TOKENS)
+    with store.begin_write() as txn:
+        txn.insert_many([Token(None, n.n_name) for n in t.query(Nation).to_list()])
+        txn.commit()
+    rows = store.begin_read().table("tokens")
+    fits = F.col("Id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    ids = rows.agg(F.countDistinct("Id").alias("ids"))
+    return rows.select(F.col("Text").alias("n_name"), F.length("Id").alias("length"), fits.alias("fits")).crossJoin(F.broadcast(ids))
+
+
+@_query("allocated_ids", "select 'Tokens-' || i as id from range(1, 46) r(i)")
+def _allocated(t: ReadTransaction) -> DataFrame:
+    store = Store.versioned(t.spark, _shared_folder(t.spark), replace(_TOKENS, id_type=T.StringType(), key_prefix="Tokens"))
+    with store.begin_write() as txn:
+        return t.spark.createDataFrame([(txn.allocate_id(Token),) for _ in range(45)], "id string")
+
+
+@_query("to_dictionary", "select n_name as key, n_regionkey from nation")
+def _dictionary(t: ReadTransaction) -> DataFrame:
+    return t.spark.createDataFrame([(n.n_name, n.n_regionkey) for n in t.query(Nation).to_dictionary(lambda n: n.n_name).values()], "key string, n_regionkey int")
 
 
-@_query("unique_check", "select n_regionkey, count(*) as n from nation group by n_regionkey having count(*) > 1")
-def _unique(t: ReadTransaction) -> DataFrame:
-    return t.query("nation").group_by("n_regionkey").column("n_regionkey").calculated_column("count(*)", "n").subquery().where("n", ">", 1).to_df()
+@_query("multi_map", "select n_name, r_name from nation join region on n_regionkey = r_regionkey")
+def _multi(t: ReadTransaction) -> DataFrame:
+    rows = t.stream_mapped("select n_nationkey as a_n_nationkey, n_name as a_n_name, n_regionkey as a_n_regionkey, r_name as b_name from {nation} join {region} on n_regionkey = r_regionkey", None, lambda m: (m.map(Nation, "a").n_name, m.map(str, "b")))
+    return t.spark.createDataFrame(list(rows), "n_name string, r_name string")
 
 
 DASHBOARD_SQL = """

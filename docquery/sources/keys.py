@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import types as T
 
-from ..mapping import DocumentMap
+from ..mapping import DocumentMap, GuidType
 
 BLOCK = 20
 
@@ -44,6 +44,7 @@ class KeyHandlers:
 
     def __init__(self):
         self._made: dict[type, Callable[[DocumentMap, Callable[[], int]], Any]] = {
+            GuidType: guid_key,
             T.StringType: _text,
             T.IntegerType: lambda m, number: int(number()),
             T.LongType: lambda m, number: int(number()),

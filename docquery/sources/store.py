@@ -203,7 +203,8 @@ class ReadTransaction:
         return self.run(lambda: self.sql(sql, args).collect(), what="reader")
 
     def execute_non_query(self, sql: str, args: Any = None) -> None:
-        self.run(lambda: self.sql(sql, args).collect(), what="command")
+        """Runs a statement; the rows of a query are computed where they are and go nowhere."""
+        self.run(lambda: self.sql(sql, args).write.format("noop").mode("overwrite").save(), what="command")
 
     def call(self, procedure: str, **args: Any) -> Any:
         return self.store.procedures[procedure](self, **args)

@@ -1,6 +1,6 @@
 """Where tables come from: Parquet folders, catalog tables, or a folder of versioned tables.
 
-A versioned table is a list of Parquet folders of rows and of deleted ids, each with the version that added it: rows of an older
+A versioned table is a list of Parquet folders of rows and of deleted ids, each row with the version that added it, read by one scan each: rows of an older
 version whose id was deleted later are left out by an anti-join. One manifest names all folders of all tables; a commit writes the
 next manifest under a name that must not exist. So a commit costs what it changes, and ``compact`` rewrites a table.
 """
@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,19 +72,22 @@ class VersionedTables:
 
     def _rows(self, entry: dict) -> DataFrame:
         schema = T.StructType.fromJson(entry["schema"])
-        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{p['path']}").withColumn("__v", F.lit(p["version"])) for p in entry["rows"]]
-        if not parts:
+        if not entry["rows"]:
             return self.spark.createDataFrame([], schema)
-        rows = reduce(DataFrame.unionByName, parts)
-        gone = [self.spark.read.parquet(f"{self.root}/{p['path']}").withColumn("__deleted", F.lit(p["version"])) for p in entry["deleted"]]
-        if gone:
-            deleted = reduce(DataFrame.unionByName, gone).groupBy("__id").agg(F.max("__deleted").alias("__deleted"))
-            rows = rows.join(deleted, (F.col(f"`{entry['id']}`") == F.col("__id")) & (F.col("__v") < F.col("__deleted")), "left_anti")
+        rows = self._scan(entry["rows"], schema.add("__v", T.LongType()))
+        if entry["deleted"]:
+            gone = self._scan(entry["deleted"], T.StructType([T.StructField("__id", T.StructType.fromJson(entry["schema"])[entry["id"]].dataType), T.StructField("__v", T.LongType())]))
+            gone = gone.groupBy("__id").agg(F.max("__v").alias("__deleted"))
+            rows = rows.join(gone, (F.col(f"`{entry['id']}`") == F.col("__id")) & (F.col("__v") < F.col("__deleted")), "left_anti")
         return rows.drop("__v")
 
-    def _write(self, df: DataFrame) -> str:
+    def _scan(self, parts: list[str], schema: T.StructType) -> DataFrame:
+        """One scan of all parts; __v is the version that wrote a row."""
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in parts])
+
+    def _write(self, df: DataFrame, version: int) -> str:
         name = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}")
+        df.withColumn("__v", F.lit(version).cast("bigint")).write.parquet(f"{self.root}/{name}")
         return name
 
     def commit(self, base: int, changes: dict[str, dict[str, Any]]) -> int:
@@ -95,9 +98,9 @@ class VersionedTables:
             if name in tables and not change.get("replace"):
                 entry |= {"rows": list(tables[name]["rows"]), "deleted": list(tables[name]["deleted"])}
             if change.get("deleted") is not None:
-                entry["deleted"].append({"path": self._write(change["deleted"]), "version": version})
+                entry["deleted"].append(self._write(change["deleted"], version))
             if change.get("rows") is not None:
-                entry["rows"].append({"path": self._write(change["rows"]), "version": version})
+                entry["rows"].append(self._write(change["rows"], version))
             tables[name] = entry
         draft = self._path(f"manifests/draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft, False)
@@ -105,8 +108,10 @@ class VersionedTables:
         out.close()
         try:
             self._context.rename(draft, self._path(f"manifests/{version:012d}"), self._no_options())
-        except Exception as error:
+        except Py4JJavaError as error:
             self._fs.delete(draft, False)
+            if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
             raise CommitConflictError(f"version {version} exists") from error
         return version
 

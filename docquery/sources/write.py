@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.parameters import normalise
 from ..mapping import EDGE_SCHEMA, Direction, DocumentMap, JsonFormat
@@ -56,7 +57,7 @@ class WriteTransaction(ReadTransaction):
         if not hasattr(store.tables, "commit"):
             raise NotAvailableError("this store is read-only")
         super().__init__(store)
-        self._added: dict[str, list[DataFrame]] = {}
+        self._added: dict[str, list[Any]] = {}
         self._deleted: dict[str, list[DataFrame]] = {}
         self._ids: dict[str, str] = {}
         self._schemas: dict[str, Any] = {}
@@ -84,7 +85,7 @@ class WriteTransaction(ReadTransaction):
         if known and name in self._deleted:
             gone = reduce(DataFrame.unionByName, self._deleted[name]).distinct()
             rows = [rows[0].join(gone, F.col(f"`{self._ids[name]}`") == F.col("__id"), "left_anti")]
-        rows += self._added.get(name, [])
+        rows += self._staged(name)
         if not rows:
             raise KeyError(f"no table {name}")
         return reduce(DataFrame.unionByName, rows)
@@ -92,13 +93,26 @@ class WriteTransaction(ReadTransaction):
     def _delete_rows(self, name: str, id_: str, ids: DataFrame) -> None:
         ids = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
         self._ids[name] = id_
-        self._added[name] = [d.join(ids, F.col(f"`{id_}`") == F.col("__id"), "left_anti") for d in self._added.get(name, [])]
+        self._added[name] = [d.join(ids, F.col(f"`{id_}`") == F.col("__id"), "left_anti") for d in self._staged(name)]
         self._deleted.setdefault(name, []).append(ids)
 
-    def _add_rows(self, name: str, id_: str, rows: DataFrame) -> None:
+    def _add_rows(self, name: str, id_: str, rows: DataFrame | tuple[list[tuple], T.StructType]) -> None:
+        """Stages a DataFrame, or tuples with their schema, which are added to those staged just before."""
         self._ids[name] = id_
-        self._schemas.setdefault(name, rows.schema)
-        self._added.setdefault(name, []).append(rows)
+        added = self._added.setdefault(name, [])
+        if isinstance(rows, DataFrame):
+            self._schemas.setdefault(name, rows.schema)
+            added.append(rows)
+            return
+        self._schemas.setdefault(name, rows[1])
+        if added and isinstance(added[-1], tuple) and added[-1][1] == rows[1]:
+            added[-1][0].extend(rows[0])
+        else:
+            added.append((list(rows[0]), rows[1]))
+
+    def _staged(self, name: str) -> list[DataFrame]:
+        """What is staged, as DataFrames."""
+        return [a if isinstance(a, DataFrame) else self.spark.createDataFrame(*a) for a in self._added.get(name, [])]
 
     # documents as rows
 
@@ -135,9 +149,9 @@ class WriteTransaction(ReadTransaction):
         found = next((n for n in vars(doc) if n.lower() == name.lower()), name)
         object.__setattr__(doc, found, value)
 
-    def _frame(self, m: DocumentMap, rows: list[dict[str, Any]]) -> DataFrame:
+    def _frame(self, m: DocumentMap, rows: list[dict[str, Any]]) -> tuple[list[tuple], T.StructType]:
         schema = m.stored_schema()
-        return self.spark.createDataFrame([tuple(r.get(n) for n in schema.names) for r in rows], schema)
+        return [tuple(r.get(n) for n in schema.names) for r in rows], schema
 
     def _map_of(self, doc: Any, wanted: Any) -> DocumentMap:
         return self.store.maps.of(wanted if wanted is not None else type(doc))
@@ -180,34 +194,40 @@ class WriteTransaction(ReadTransaction):
                 self._hook("after_insert", doc, m, self)
 
     def insert_df(self, wanted: Any, rows: DataFrame) -> None:
-        """Adds rows in the table's own columns, by name."""
+        """Adds rows in the table's own columns, by name, and the edges of related documents whose map has ``pairs``, which may use any column of rows."""
         m = self.store.maps.of(wanted)
+        for related in m.related:
+            if related.pairs is None:
+                continue
+            edges = rows.select(F.col(f"`{m.id}`").cast("string").alias("Id"), F.lit(m.table_name).alias("Table"), F.explode(F.array_distinct(F.expr(related.pairs))).alias("e"))
+            self._add_rows(related.table, "Id", edges.select("Id", "Table", F.col("e.id").cast("string").alias("RelatedDocumentId"), F.col("e.type").cast("string").alias("RelatedDocumentTable")).to(T.StructType.fromDDL(EDGE_SCHEMA)))
         self._add_rows(m.table_name, m.id, rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in m.stored_schema()]))
         self._touched[m.table_name] = m
 
     def update(self, doc: Any, wanted: Any = None) -> None:
-        """Replaces the row of the document's id. StaleDataError if its row version is another, or it is gone."""
+        """Replaces the row of the document's id; without such a row nothing changes. With a row version, StaleDataError if it is another or the row is gone."""
         m = self._map_of(doc, wanted)
         self._hook("before_update", doc, m, self)
         row = self._values(m, doc)
         current = self.table(m.table_name).filter(F.col(f"`{m.id}`") == F.lit(row[m.id]))
+        keep = [c.name for c in m.columns if c.direction is Direction.LOAD_ONLY]
+        old = current.select(m.id, *keep, *([m.row_version] if m.row_version else [])).first()
         if m.row_version:
             mine = getattr(doc, m.row_version, None) if not isinstance(doc, dict) else doc.get(m.row_version)
-            found = current.select(m.row_version).first()
-            if found is None or found[0] != mine:
+            if old is None or old[m.row_version] != mine:
                 raise StaleDataError(f"{m.name} {row[m.id]} was changed")
             row[m.row_version] = mine + 1
-        keep = [c.name for c in m.columns if c.direction is Direction.LOAD_ONLY]
-        if keep and (old := current.select(*keep).first()) is not None:
-            row |= old.asDict()
+        if old is None:
+            self._hook("after_update", doc, m, self)
+            return
+        row |= {c: old[c] for c in keep}
         ids = self.spark.createDataFrame([(row[m.id],)], f"id {m.id_type.simpleString()}")
         self._delete_rows(m.table_name, m.id, ids)
         self._add_rows(m.table_name, m.id, self._frame(m, [row]))
         self._touched[m.table_name] = m
         if m.row_version:
             self._put(doc, m.row_version, row[m.row_version])
-        self._drop_edges(m, ids)
-        self._edges(m, doc, row[m.id])
+        self._update_edges(m, doc, row[m.id], ids)
         self._hook("after_update", doc, m, self)
 
     def delete(self, doc_or_id: Any, wanted: Any = None) -> None:
@@ -232,7 +252,17 @@ class WriteTransaction(ReadTransaction):
             self._hook("store_related", doc, pairs, self)
             if pairs:
                 rows = [(str(key), m.table_name, str(i), t) for i, t in pairs]
-                self._add_rows(related.table, "Id", self.spark.createDataFrame(rows, EDGE_SCHEMA))
+                self._add_rows(related.table, "Id", (rows, T.StructType.fromDDL(EDGE_SCHEMA)))
+
+    def _update_edges(self, m: DocumentMap, doc: Any, key: Any, ids: DataFrame) -> None:
+        """Edges that the document still has stay; only where they differ are they written anew."""
+        for related in m.related:
+            wanted = {(str(i), t) for i, t in related.documents(doc)}
+            found = self.table(related.table).where(F.col("Id") == str(key)).select("RelatedDocumentId", "RelatedDocumentTable").collect() if self._known(related.table) else []
+            if {tuple(r) for r in found} != wanted:
+                one = dataclasses.replace(m, related=(related,))
+                self._drop_edges(one, ids)
+                self._edges(one, doc, key)
 
     def _drop_edges(self, m: DocumentMap, ids: DataFrame) -> None:
         for related in m.related:
@@ -254,11 +284,13 @@ class WriteTransaction(ReadTransaction):
         for rule in m.unique:
             if not self._added.get(m.table_name):
                 continue
-            mine = reduce(DataFrame.unionByName, self._added[m.table_name]).select(*rule.columns).distinct()
-            twice = self.table(m.table_name).join(mine, list(rule.columns), "left_semi").groupBy(*rule.columns).count().where("count > 1")
+            mine = reduce(DataFrame.unionByName, self._staged(m.table_name)).select(*rule.columns).distinct()
+            mine = mine.toDF(*[f"__{c}" for c in rule.columns])
+            same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`__{c}`")) for c in rule.columns])  # a rule lets one null key in
+            twice = self.table(m.table_name).join(mine, same, "left_semi").groupBy(*rule.columns).count().where("count > 1")
             if not twice.isEmpty():
                 raise UniqueConstraintError(rule.message)
-        added = self._added.get(m.table_name)
+        added = self._staged(m.table_name)
         if added:
             ids = reduce(DataFrame.unionByName, added).select(m.id)
             if not self.table(m.table_name).join(ids.distinct(), m.id, "left_semi").groupBy(m.id).count().where("count > 1").isEmpty():
@@ -272,7 +304,7 @@ class WriteTransaction(ReadTransaction):
         changes = {}
         for name in dict.fromkeys([*self._added, *self._deleted]):
             schema = self._schemas[name] if name in self._schemas else self.table(name).schema
-            added = self._added.get(name)
+            added = self._staged(name)
             changes[name] = {"id": self._ids[name], "schema": schema, "rows": reduce(DataFrame.unionByName, added) if added else None, "deleted": reduce(DataFrame.unionByName, self._deleted[name]).distinct() if name in self._deleted else None}
         if not changes:
             return self.version

@@ -160,8 +160,15 @@ def test_joins_are_checked(txn):
 
 
 def test_hash_join_hint_is_in_the_plan(txn):
-    plan = txn.query(Customer).left_hash_join(txn.query(Customer), "r").on("Id", "Id").no_lock().debug_view_raw_query()
-    assert "ShuffledHashJoin" in plan and "NOLOCK" in plan
+    """A small right side is broadcast and hashed; a larger one is shuffled and hashed."""
+    query = txn.query(Customer).left_hash_join(txn.query(Customer), "r").on("Id", "Id").no_lock()
+    plan = query.debug_view_raw_query()
+    assert "BroadcastHashJoin" in plan and "NOLOCK" in plan
+    txn.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "ShuffledHashJoin" in query.debug_view_raw_query()
+    finally:
+        txn.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_raw_text(txn):
