@@ -3,7 +3,7 @@
 Each token's bytes are mapped to printable characters, one for one; the mapped pieces with the negative rank as
 score, an identity normaliser and no dummy prefix make a BPE model, serialised here field by field. Text is cut
 by the pattern into pre-tokens; a pre-token that is a token is that token, every other is merged by
-sentencepiece. Decoding maps pieces back to bytes. The model, of the vocabulary's size, is broadcast; each task
+sentencepiece, thousands in one call with a separator that no merge goes over. Decoding maps pieces back to bytes. The model, of the vocabulary's size, is broadcast; each task
 reads its own rows and nothing is shuffled.
 """
 
@@ -22,10 +22,18 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A space that the next pre-token doesn't begin with.
+# fixed value: the pattern for whose pre-tokens a space before anything but white space always begins a new one
+SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Spaces that don't begin a pre-token with what follows; spaces that do.
 _UNSAFE = regex.compile(r" (?:\s|\Z)").search
-#: Pre-tokens that a worker remembers; beyond these it starts anew.
-REMEMBERED = 500_000
+_CUT = regex.compile(r" (?=\S)").split
+#: Characters of text whose new words are merged in one call, about; longest word that is remembered; characters of
+#: words that a worker remembers, beyond which it starts anew.
+AT_ONCE, LONGEST_KEPT, REMEMBERED = 1 << 16, 64, 6_000_000
+MERGED_AT_ONCE = 4096
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Between pre-tokens that are merged in one call: no piece has it, so no merge goes over it.
+_SEPARATOR, _SEPARATOR_BYTE = "‖", b"\xff"
 
 
 def byte_characters() -> list[str]:
@@ -72,50 +80,82 @@ def serialise_model(tokens: list[bytes]) -> bytes:
 
 
 class ByteBpe:
-    """Encoder and decoder of one task. Encodings are 4 bytes an id, little-endian."""
+    """Encoder and decoder of one task. Encodings are 4 bytes an id, little-endian. What texts are cut into is merged once while it is remembered."""
 
     def __init__(self, tokens: list[bytes], model: bytes, pattern: str):
-        self.tokens, self.cut = tokens, regex.compile(pattern).findall
+        self.tokens, self.pre_tokens = tokens, regex.compile(pattern).findall
+        self.spaced = pattern == SPACED_PATTERN
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.chars = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
-        self.whole = {token: i for i, token in enumerate(tokens)}
-        self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-
-    def _add(self, pre_tokens: set[str]) -> None:
-        """Learns the encodings of pre-tokens."""
-        merged = []
-        for p in pre_tokens:
-            data = p.encode("utf-8", "surrogatepass")
-            if data in self.whole:
-                self.pieces[p] = self.whole[data].to_bytes(4, "little")
-            else:
-                merged.append((p, data.decode("latin-1").translate(self.chars)))
-        for (p, _), ids in zip(merged, self.model.encode([m for _, m in merged], num_threads=1), strict=True):
-            self.pieces[p] = np.array(ids, "<u4").tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        pre = self.cut(text)
-        new = {p for p in pre if p not in self.pieces}
-        if new:
-            self._add(new)
-        return b"".join(map(self.pieces.__getitem__, pre))
+        # UTF-8 has no byte 0xFF
+        self.chars = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())} | {chr(0xFF): _SEPARATOR})
+        self.whole = {token: i.to_bytes(4, "little") for i, token in enumerate(tokens)}
+        self.known: dict[str, bytes] = {}  # pieces of text and pre-tokens
+        self.fresh: list[str] = []
+        self.held = 0
+
+    def _merged(self, parts: list[bytes]) -> Iterator[bytes]:
+        """Encodings of pre-tokens that aren't tokens, many by one call."""
+        for at in range(0, len(parts), MERGED_AT_ONCE):
+            some = parts[at : at + MERGED_AT_ONCE]
+            ids = np.array(self.model.encode(_SEPARATOR_BYTE.join(some).decode("latin-1").translate(self.chars)), "<u4")
+            ends = np.append(np.flatnonzero(ids == len(self.tokens)) * 4, len(ids) * 4).tolist()
+            data, begin = ids.tobytes(), 0
+            for end in ends:
+                yield data[begin:end]
+                begin = end + 4
+
+    def _split(self, piece: str) -> list[str]:
+        """The pre-tokens of a piece; a word with punctuation after it needs no search."""
+        if self.spaced:
+            word = piece.rstrip(_PUNCTUATION)
+            if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+                return [word, piece[len(word) :]] if len(word) < len(piece) else [word]
+        return self.pre_tokens(piece)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Adds the encodings of pieces of text, each cut into pre-tokens by itself, and of these to what is known."""
+        split = list(map(self._split, pieces))
+        new = list(dict.fromkeys(p for pre in split for p in pre if p not in self.known))
+        data = [p.encode("utf-8", "surrogatepass") for p in new]
+        found = list(map(self.whole.get, data))
+        merged = self._merged([d for d, ids in zip(data, found, strict=True) if ids is None])
+        self.known.update(zip(new, (next(merged) if ids is None else ids for ids in found), strict=True))
+        self.known.update((piece, b"".join(map(self.known.__getitem__, pre))) for piece, pre in zip(pieces, split, strict=True) if len(pre) > 1)
+        self.fresh += new
+        self.fresh += pieces
+
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces that are encoded each by itself: for SPACED_PATTERN a new one begins with each space before anything but white space."""
+        if not self.spaced or not text:
+            return [text] if text else []
+        first, *rest = _CUT(text) if _UNSAFE(text) else text.split(" ")
+        rest = [" " + x for x in rest]
+        return [first, *rest] if first else rest
+
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        """The encoding of each text; about AT_ONCE characters are looked at together."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= AT_ONCE):
+                size += len(texts[to])
+                to += 1
+            cut = [self._pieces(t) for t in texts[at:to]]
+            self._learn(list(set(itertools.filterfalse(self.known.__contains__, itertools.chain.from_iterable(cut)))))
+            for pieces in cut:
+                yield b"".join(map(self.known.__getitem__, pieces))
+            for piece in self.fresh:
+                if len(piece) > LONGEST_KEPT:
+                    self.known.pop(piece, None)
+                else:
+                    self.held += len(piece)
+            self.fresh.clear()
+            if self.held > REMEMBERED:
+                self.known, self.held = {}, 0
+            at = to
 
     def encode(self, text: str) -> bytes:
-        if len(self.pieces) + len(self.spaced) > REMEMBERED:
-            self.pieces, self.spaced = {}, {}
-        if _UNSAFE(text):
-            return self._plain(text)
-        # a space before anything but space starts a pre-token, so what lies between spaces is encoded on its own
-        first, *rest = text.split(" ")
-        new = set(itertools.filterfalse(self.spaced.__contains__, rest))
-        if new:
-            cut = {x: self.cut(" " + x) for x in new}
-            unknown = {p for ps in cut.values() for p in ps if p not in self.pieces}
-            if unknown:
-                self._add(unknown)
-            self.spaced.update((x, b"".join(map(self.pieces.__getitem__, ps))) for x, ps in cut.items())
-        return self._plain(first) + b"".join(map(self.spaced.__getitem__, rest))
+        return next(self.encode_many([text]))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -147,8 +187,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
         coder = kept_coder(digest, shared)
         for texts in parts:
             rows = []
-            for text in texts:
-                ids = coder.encode(text or "")
+            for ids in coder.encode_many([text or "" for text in texts]):
                 row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest())
                 rows.append((*row, np.frombuffer(ids, "<u4").tolist()) if keep_ids else row)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + keep_ids])
