@@ -23,7 +23,7 @@ SHARE, MOST_STEPS, MIN_GROUP = 0.75, 12, 50
 #: consistency factors are share / P(chi-square with 6 degrees <= quantile of the share), for SHARE and for 0.975.
 CUTOFF, CONSISTENCY, USUAL, USUAL_CONSISTENCY = 28.473, 1.4851, 11.143, 1.0645
 #: Least standard deviation of each statistic.
-FLOORS = {"x1": 0.15, "x2": 0.35, "x3": 0.7, "x4": 0.7}
+FLOORS = {"x1": 0.15, "x2": 0.35, "x3": 1.25, "x4": 0.7}
 X = list(FLOORS)
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
 #: Conditions of the starts after the first, which is of medians and median deviations; pick is the first hex digit of the id's MD5.
