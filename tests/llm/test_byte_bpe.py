@@ -35,3 +35,21 @@ def test_bytes_map_one_to_one():
 
 def test_empty_table(no_docs):
     assert b.encode_documents(no_docs, PATH, P.PATTERN).collect() == []
+
+
+def test_random_texts_and_another_pattern(monkeypatch):
+    """White space of all kinds, small pieces and a small memory; other patterns are applied to whole texts."""
+    import random
+
+    rng = random.Random(1)
+    tokens = b.read_ranks(PATH)
+    model = b.serialise_model(tokens)
+    texts = ["".join(rng.choice(" \n\tab1.,'s \x1cé日²‖") for _ in range(rng.randrange(14))) for _ in range(4000)]
+    texts += ["ab" * 200 + "  " + "日" * 100 + " x", "word, word. word!! don't (word) word's"] * 3
+    monkeypatch.setattr(b, "AT_ONCE", 50)
+    monkeypatch.setattr(b, "REMEMBERED", 500)
+    monkeypatch.setattr(b, "MERGED_AT_ONCE", 7)
+    for pattern in (P.PATTERN, r"\p{N}{1,2}|\s?\p{L}+|\s+|[^\s\p{L}\p{N}]+", r"[^ ]+ ?| "):
+        theirs = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+        for text, ids in zip(texts, b.ByteBpe(tokens, model, pattern).encode_many(texts), strict=True):
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == theirs.encode_ordinary(text), (pattern, text)
