@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import asyncio
 import logging
+import re
 import threading
 import time
 from collections.abc import Callable, Iterable, Iterator
@@ -28,6 +29,10 @@ class ResourceNotFoundError(LookupError):
     """A required document doesn't exist."""
 
 
+#: A text literal, a table in braces, or another brace.
+_BRACES = re.compile(r"'(?:[^'\\]|''|\\.)*'|\{([A-Za-z_]\w*)\}|[{}]", re.S)
+
+
 class Concurrency(Enum):
     NO_LOCK = 0
     LOCK_ONLY = 1
@@ -176,12 +181,19 @@ class ReadTransaction:
         return Query(self, lambda: self.spark.range(1).select(F.lit(value).alias(name)))
 
     def sql(self, sql: str, args: Any = None) -> DataFrame:
-        """SQL with @parameters; {name} is the table of that name, as this transaction sees it."""
-        import string
-
+        """SQL with @parameters; {name} is the table of that name, as this transaction sees it. Braces in text literals are text."""
         text, used = bind(sql, Parameters(args), ":")
-        names = {f for _, f, _, _ in string.Formatter().parse(text) if f}
-        return self.spark.sql(text, args=used or None, **{n: self.table(n) for n in names})
+        names: set[str] = set()
+
+        def put(m: re.Match) -> str:
+            if m[1]:
+                names.add(m[1])
+                return m[0]
+            return m[0].replace("{", "{{").replace("}", "}}")
+
+        text = _BRACES.sub(put, text)
+        # without a table nothing is formatted, so braces stay single
+        return self.spark.sql(text, args=used or None, **{n: self.table(n) for n in names}) if names else self.spark.sql(text.replace("{{", "{").replace("}}", "}"), args=used or None)
 
     def column_names(self, table: str, json_last: bool = False) -> list[str]:
         names = self.table(table).columns

@@ -166,3 +166,13 @@ def test_statements_without_rows(spark, tmp_path):
     assert txn.execute_non_query("select id from range(1000)") is None
     txn.execute_non_query("create or replace temporary view details_view as select 1 as one")
     assert spark.table("details_view").first().one == 1
+
+
+def test_braces_in_raw_text(spark, tmp_path):
+    spark.createDataFrame([(1,)], "Id int").write.parquet(str(tmp_path / "b.parquet"))
+    txn = Store.of_parquet(spark, str(tmp_path)).begin_read()
+    for text in ('{"a": {"b": 1}}', "{b}", "{{}}", "{", "}}", "it''s {b}"):
+        want = text.replace("''", "'")
+        assert txn.sql(f"select '{text}' as t, Id from {{b}}").first().t == want
+        assert txn.sql(f"select '{text}' as t").first().t == want
+    assert txn.raw_sql_query("select @v as v, Id from {b}", {"v": "{x}"}).to_df().first().v == "{x}"
