@@ -25,6 +25,8 @@ CUTOFF, CONSISTENCY, USUAL, USUAL_CONSISTENCY = 28.473, 1.4851, 11.143, 1.0645
 #: Least standard deviation of each statistic.
 FLOORS = {"x1": 0.15, "x2": 0.35, "x3": 1.25, "x4": 0.7}
 X = list(FLOORS)
+#: Rows of a table of groups and starts (200 bytes each) up to which it is broadcast.
+BROADCAST_ROWS = 100_000
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
 #: Conditions of the starts after the first, which is of medians and median deviations; pick is the first hex digit of the id's MD5.
 STARTS = ["true", "pick < '4'", "pick >= '4' and pick < '8'", "pick >= '8' and pick < 'c'"]
@@ -99,19 +101,18 @@ def _factor() -> list[tuple[str, str]]:
 
 
 def _moments(condition: str) -> list[tuple[str, str]]:
-    """(name, aggregate) of means and products of x1..x4 around b1..b4 where the condition holds."""
-    y = [f"case when {condition} then x{i} - b{i} end" for i in range(1, 5)]
+    """(name, aggregate) of means and products of x1..x4 where the condition holds."""
+    y = [f"case when {condition} then x{i} end" for i in range(1, 5)]
     return [(f"a{i + 1}", f"avg({y[i]})") for i in range(4)] + [(f"p{i + 1}{j + 1}", f"avg(({y[i]}) * ({y[j]}))") for i, j in PAIRS]
 
 
 def _estimate(consistency: float) -> list[tuple[str, str]]:
     """(name, formula) of mean and scatter from moments."""
-    return [(f"m{i}", f"b{i} + a{i}") for i in range(1, 5)] + [(f"s{i + 1}{j + 1}", f"{consistency} * (p{i + 1}{j + 1} - a{i + 1} * a{j + 1}) + {FLOORS[X[i]] ** 2 if i == j else 0.0}") for i, j in PAIRS]
+    return [(f"m{i}", f"a{i}") for i in range(1, 5)] + [(f"s{i + 1}{j + 1}", f"{consistency} * (p{i + 1}{j + 1} - a{i + 1} * a{j + 1}) + {FLOORS[X[i]] ** 2 if i == j else 0.0}") for i, j in PAIRS]
 
 
 #: Logarithm of the determinant, rounded so that the same subset has the same value.
 _LOG_DET = "round(2 * (" + " + ".join(f"ln(l{i}{i})" for i in range(1, 5)) + "), 6)"
-_CENTRE = [f"b{i}" for i in range(1, 5)]
 _PARAMETERS = [f"m{i}" for i in range(1, 5)] + [f"l{i + 1}{j + 1}" for i, j in PAIRS]
 
 
@@ -129,29 +130,32 @@ def _fitted(moments: DataFrame, keys: list[str], consistency: float) -> DataFram
 
 def mcd(rows: DataFrame) -> DataFrame:
     """(grp, pick, x1..x4) to a row for each group with location m1..m4 and the Cholesky factor l11..l44 of its scatter."""
-    centre = small_side(rows.groupBy("grp").agg(*[F.percentile(x, 0.5).alias(b) for x, b in zip(X, _CENTRE, strict=True)]))
-    around = rows.join(centre, "grp")
-    spread = around.groupBy("grp", *_CENTRE).agg(*[F.percentile(F.abs(F.col(x) - F.col(b)), 0.5).alias(f"d{i + 1}") for i, (x, b) in enumerate(zip(X, _CENTRE, strict=True))])
-    first = spread.select("grp", F.lit(0).alias("start"), *[F.col(f"b{i}").alias(f"m{i}") for i in range(1, 5)], *[(F.greatest(1.4826 * F.col(f"d{i + 1}"), F.lit(FLOORS[X[i]])) if i == j else F.lit(0.0)).alias(f"l{i + 1}{j + 1}") for i, j in PAIRS])
-    params = first.withColumn("det", F.expr(_LOG_DET))
-    moments = around.groupBy("grp", *_CENTRE).agg(*[F.struct(*_as(_moments(c))).alias(f"of{k}") for k, c in enumerate(STARTS, 1)])
+    centre = checkpoint(rows.groupBy("grp").agg(*[F.percentile(x, 0.5).alias(f"b{i}") for i, x in enumerate(X, 1)]))
+    small = centre.count() * (len(STARTS) + 1) <= BROADCAST_ROWS
+    side = F.broadcast if small else lambda df: df  # tables of one row a group and start
+    # all below is relative to the medians
+    rows = checkpoint(rows.join(side(centre), "grp").select("grp", "pick", *[(F.col(x) - F.col(f"b{i}")).alias(x) for i, x in enumerate(X, 1)]))
+    facts = rows.groupBy("grp").agg(*[F.percentile(F.abs(x), 0.5).alias(f"d{i}") for i, x in enumerate(X, 1)], *[F.struct(*_as(_moments(c))).alias(f"of{k}") for k, c in enumerate(STARTS, 1)])
+    facts = checkpoint(facts)
+    params = facts.select("grp", F.lit(0).alias("start"), *[F.lit(0.0).alias(f"m{i}") for i in range(1, 5)], *[(F.greatest(1.4826 * F.col(f"d{i + 1}"), F.lit(FLOORS[X[i]])) if i == j else F.lit(0.0)).alias(f"l{i + 1}{j + 1}") for i, j in PAIRS])
+    params = params.withColumn("det", F.expr(_LOG_DET))
     for k in range(1, len(STARTS) + 1):
-        params = params.unionByName(_fitted(moments.select("grp", F.lit(k).alias("start"), *_CENTRE, f"of{k}.*"), ["grp", "start"], 1.0))
-    params = small_side(params)
+        params = params.unionByName(_fitted(facts.select("grp", F.lit(k).alias("start"), f"of{k}.*"), ["grp", "start"], 1.0))
+    params = checkpoint(params)
     for _ in range(MOST_STEPS):
-        near = rows.join(params, "grp").select("grp", "start", F.expr(f"round(ln(1 + {_distance()}), {DIGITS})").alias("u"), *X)
-        cut = small_side(near.groupBy("grp", "start").agg(F.percentile("u", SHARE).alias("cut")).join(centre, "grp"))
-        sums = near.join(cut, ["grp", "start"]).where("u <= cut").groupBy("grp", "start", *_CENTRE).agg(*_as(_moments("true")))
-        was = params.select("grp", "start", F.col("det").alias("was"))
-        params = small_side(_fitted(sums, ["grp", "start"], CONSISTENCY).join(was, ["grp", "start"]))
+        far = F.expr(f"round(ln(1 + {_distance()}), {DIGITS})")
+        cut = rows.join(side(params), "grp").groupBy("grp", "start", "det", *_PARAMETERS).agg(F.percentile(far, SHARE).alias("cut"))
+        sums = rows.join(side(cut), "grp").where(far <= F.col("cut")).groupBy("grp", "start", F.col("det").alias("was")).agg(*_as(_moments("true")))
+        params = checkpoint(_fitted(sums, ["grp", "start", "was"], CONSISTENCY))
         moved = not params.where("det <> was").isEmpty()
         params = params.drop("was")
         if not moved:
             break
-    best = small_side(params.groupBy("grp").agg(F.min_by(F.struct(*_PARAMETERS), F.struct("det", "start")).alias("p")).select("grp", "p.*").join(centre, "grp"))
-    usual = rows.join(best, "grp").where(F.expr(f"{_distance()} <= {USUAL}")).groupBy("grp", *_CENTRE).agg(*_as(_moments("true")))
-    again = _fitted(usual, ["grp"], USUAL_CONSISTENCY).drop("det")
-    return small_side(again.unionByName(best.join(again.select("grp"), "grp", "left_anti").select("grp", *_PARAMETERS)))
+    best = checkpoint(params.groupBy("grp").agg(F.min_by(F.struct(*_PARAMETERS), F.struct("det", "start")).alias("p")).select("grp", "p.*"))
+    usual = rows.join(side(best), "grp").where(F.expr(f"{_distance()} <= {USUAL}")).groupBy("grp").agg(*_as(_moments("true")))
+    again = checkpoint(_fitted(usual, ["grp"], USUAL_CONSISTENCY).drop("det"))
+    all_ = again.unionByName(best.join(side(again.select("grp")), "grp", "left_anti").select("grp", *_PARAMETERS))
+    return side(all_.join(side(centre), "grp").select("grp", *[(F.col(f"m{i}") + F.col(f"b{i}")).alias(f"m{i}") for i in range(1, 5)], *_PARAMETERS[4:]))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -188,7 +192,6 @@ def _oracle() -> str:
             steps.append(f"{name}_{k} as (select *, {text} {l} from {name}_{k - 1})")
         return ",\n".join(steps) + f",\n{name} as materialized (select {keys}, {', '.join(_PARAMETERS)}, {_LOG_DET} det from {name}_{len(PAIRS)})"
 
-    b, m = ", ".join(_CENTRE), [f"m{i}" for i in range(1, 5)]
     sql = rf"""
 with w as (select doc_id, lang, source, coalesce(text, '') t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from documents),
@@ -203,23 +206,24 @@ k0 as (select *, to_json({{'l': 0, 'a': lang, 'b': source}}) g0, round(ln(word_c
 k1 as (select *, case when count(*) over (partition by g0) < {MIN_GROUP} then to_json({{'l': 1, 'a': lang}}) else g0 end g1 from k0),
 k as materialized (select *, case when count(*) over (partition by g1) < {MIN_GROUP} then 'all' else g1::varchar end grp from k1),
 c as materialized (select grp, {", ".join(f"quantile_cont(x{i}, 0.5) b{i}" for i in range(1, 5))} from k group by 1),
-r as materialized (select * from k join c using (grp)),
-d as (select grp, {b}, {", ".join(f"quantile_cont(abs(x{i} - b{i}), 0.5) d{i}" for i in range(1, 5))} from r group by grp, {b}),
-f0 as materialized (select *, {_LOG_DET} det from (select grp, {", ".join(f"b{i} m{i}" for i in range(1, 5))}, {", ".join(f"greatest(1.4826 * d{i + 1}, {FLOORS[X[i]]}) l{i + 1}{j + 1}" if i == j else f"0.0::double l{i + 1}{j + 1}" for i, j in PAIRS)} from d)),"""
+r as materialized (select grp, pick, {", ".join(f"x{i} - b{i} x{i}" for i in range(1, 5))} from k join c using (grp)),
+d as (select grp, {", ".join(f"quantile_cont(abs(x{i}), 0.5) d{i}" for i in range(1, 5))} from r group by grp),
+f0 as materialized (select *, {_LOG_DET} det from (select grp, {", ".join(f"0.0::double m{i}" for i in range(1, 5))}, {", ".join(f"greatest(1.4826 * d{i + 1}, {FLOORS[X[i]]}) l{i + 1}{j + 1}" if i == j else f"0.0::double l{i + 1}{j + 1}" for i, j in PAIRS)} from d)),"""
     for k, condition in enumerate(STARTS, 1):
-        sql += f"\ng{k} as (select grp, {b}, {listed(_moments(condition))} from r group by grp, {b}),\n{fitted(f'f{k}', f'g{k}', 'grp', 1.0)},"
+        sql += f"\ng{k} as (select grp, {listed(_moments(condition))} from r group by grp),\n{fitted(f'f{k}', f'g{k}', 'grp', 1.0)},"
     sql += "\nt0 as materialized (" + " union all ".join(f"select grp, {k} as start, {', '.join(_PARAMETERS)}, det from f{k}" for k in range(len(STARTS) + 1)) + "),"
     for t in range(1, MOST_STEPS + 1):
         sql += f"""
-n{t} as materialized (select r.grp, start, {b}, x1, x2, x3, x4, round(ln(1 + {_distance("r.", "p.")}), {DIGITS}) u from r join t{t - 1} p using (grp)),
+n{t} as materialized (select r.grp, start, x1, x2, x3, x4, round(ln(1 + {_distance("r.", "p.")}), {DIGITS}) u from r join t{t - 1} p using (grp)),
 h{t} as materialized (select grp, start, quantile_cont(u, {SHARE}) cut from n{t} group by 1, 2),
-q{t} as (select grp, start, {b}, {listed(_moments("true"))} from n{t} join h{t} using (grp, start) where u <= cut group by grp, start, {b}),
+q{t} as (select grp, start, {listed(_moments("true"))} from n{t} join h{t} using (grp, start) where u <= cut group by grp, start),
 {fitted(f"t{t}", f"q{t}", "grp, start", CONSISTENCY)},"""
     sql += f"""
 best as materialized (select * from t{MOST_STEPS} qualify row_number() over (partition by grp order by det, start) = 1),
-e as (select grp, {b}, {listed(_moments("true"))} from r join best p using (grp) where {_distance("r.", "p.")} <= {USUAL} group by grp, {b}),
+e as (select grp, {listed(_moments("true"))} from r join best p using (grp) where {_distance("r.", "p.")} <= {USUAL} group by grp),
 {fitted("z", "e", "grp", USUAL_CONSISTENCY)},
-par as (select grp, {", ".join(_PARAMETERS)} from z union all select grp, {", ".join(_PARAMETERS)} from best where grp not in (select grp from z))"""
+one as (select grp, {", ".join(_PARAMETERS)} from z union all select grp, {", ".join(_PARAMETERS)} from best where grp not in (select grp from z)),
+par as (select grp, {", ".join(f"m{i} + b{i} m{i}" for i in range(1, 5))}, {", ".join(_PARAMETERS[4:])} from one join c using (grp))"""
     cols = "doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words, base_failed"
     return sql + f"\nselect {cols}, {_distance('k.', 'par.')} <= {CUTOFF} kept from k join par using (grp) union all select {cols}, false from s where base_failed"
 
