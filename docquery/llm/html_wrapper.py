@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, hot_keys, join_spread, lower_ascii, small_side
+from .common import checkpoint, hot_keys, join_spread, lower_ascii, small_side, written
 
 #: Wrappers that a task aligns at once, about; bound of a broadcast.
 FAN_IN, BROADCAST_BYTES = 64, 32 << 20
@@ -459,14 +459,17 @@ def parse(pages: DataFrame) -> DataFrame:
                     if not path:
                         tokens.append(text)
                         continue
-                    tokens.append(SLOT + str(_digest(text)))
+                    tokens.append(SLOT)
                     texts.append(text)
                     links.append(linked)
                     paths.append(path)
                 open_ = [not is_boilerplate(p) for p in paths]
                 kind = _kind(p for p, o in zip(paths, open_, strict=True) if o)
-                for path, text, o in zip(paths, texts, open_, strict=True):
+                at = (i for i, token in enumerate(tokens) if token == SLOT)
+                for i, path, text, o in zip(at, paths, texts, open_, strict=True):
                     judged.append(_digest(text) if o and _judged(path) and (kind == "o" or _rank(path) < 3) else None)
+                    if judged[-1] is not None:
+                        tokens[i] += str(judged[-1])
                     if o:
                         content += [path, text]
                 for name, value in zip(rows, (kind, _digest(*content), json.dumps(tokens), texts, links, judged), strict=True):
@@ -531,13 +534,14 @@ def infer_wrappers(marked: DataFrame) -> DataFrame:
             return parts
 
 
+@functools.lru_cache(maxsize=4096)
 def slots_of(tokens: str, judged: str, constants: str | None, wrapper: str | None) -> list[int]:
-    """The slot of each text of a page."""
+    """The slot of each text of a page. Pages of one layout share it."""
     marks = json.loads(judged)
     return _wrapper(wrapper or "[]").match(_tree(tokens, marks, json.loads(constants) if constants else None), len(marks))
 
 
-def main_blocks(tokens: str, slots: list[int], links: list[int], wrapper: str, facts: dict[int, tuple[int, int]]) -> list[bool]:
+def main_blocks(tokens: str, slots: Iterable[int], wrapper: str, facts: dict[int, tuple[int, int]]) -> list[bool]:
     """Which texts of a page are main text. facts: characters and characters in links at each slot of the host."""
     paths = _paths(json.loads(tokens))
     open_ = []
@@ -561,7 +565,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Repeated rows each get their row and count once for constants; no rows give no rows.
     """
     own = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    parsed = checkpoint(parse(own))
+    parsed = written(parse(own), "parsed")
     marked = _by_host(parsed, template_texts(parsed), ["host", "kind"])
     matched = _by_host(marked, infer_wrappers(marked), ["host"])
 
@@ -569,19 +573,18 @@ def extract(pages: DataFrame) -> DataFrame:
         for columns in parts:
             yield pd.Series([slots_of(*row) for row in zip(*columns, strict=True)], dtype=object)
 
-    slots = F.pandas_udf(matches, T.ArrayType(T.IntegerType()))("tokens", F.to_json("judged"), F.to_json("constants"), "wrapper")
-    matched = checkpoint(matched.select("page_id", "url", "host", "content", "tokens", "texts", "links", "wrapper", slots.alias("slots")))
-    each = matched.select("host", "content", "slots", "links", F.transform("texts", F.length).alias("sizes")).dropDuplicates(["host", "content"])
+    facing = ["tokens", F.to_json("judged"), F.to_json("constants"), "wrapper"]
+    each = matched.select("host", "content", F.pandas_udf(matches, T.ArrayType(T.IntegerType()))(*facing).alias("slots"), "links", F.transform("texts", F.length).alias("sizes")).dropDuplicates(["host", "content"])
     each = each.select("host", F.explode(F.arrays_zip("slots", "sizes", "links")).alias("b")).where("b.slots >= 0").groupBy("host", "b.slots").agg(F.sum("b.sizes").alias("n"), F.sum("b.links").alias("links"))
     facts = each.groupBy("host").agg(F.to_json(F.collect_list(F.array(F.col("slots").cast("bigint"), "n", "links"))).alias("facts"))
 
     def choices(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         read = functools.lru_cache(maxsize=256)(lambda text: {s: (n, k) for s, n, k in json.loads(text)})
-        for tokens, slots, links, wrapper, facts in parts:
-            yield pd.Series([main_blocks(t, list(s), list(k), w or "[]", read(f or "[]")) for t, s, k, w, f in zip(tokens, slots, links, wrapper, facts, strict=True)], dtype=object)
+        for tokens, judged, constants, wrapper, facts in parts:
+            yield pd.Series([main_blocks(t, slots_of(t, j, c, w), w or "[]", read(f or "[]")) for t, j, c, w, f in zip(tokens, judged, constants, wrapper, facts, strict=True)], dtype=object)
 
-    known = _by_host(matched, facts, ["host"])
-    kept = known.select("page_id", "url", "texts", F.pandas_udf(choices, T.ArrayType(T.BooleanType()))("tokens", "slots", "links", "wrapper", "facts").alias("keep"))
+    # slots are made twice, as they cost less than another table of all texts
+    kept = _by_host(matched, facts, ["host"]).select("page_id", "url", "texts", F.pandas_udf(choices, T.ArrayType(T.BooleanType()))(*facing, "facts").alias("keep"))
     shown = kept.select("page_id", "url", F.array_join(F.filter("texts", lambda t, i: F.get("keep", i)), "\n").alias("text"))
     return shown.withColumn("n_chars", F.length("text").cast("bigint"))
 
